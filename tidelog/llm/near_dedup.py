@@ -10,8 +10,8 @@ one class only cannot make a shared table key, so pairs are only formed from key
 links its members to its least member (a star, found by a combined minimum, never by listing the bucket's pairs).
 The stars are verified on whole texts and give components. A pair that shares a bucket but is still in two
 components is then compared in the residual pass: buckets are cut into blocks of BLOCK members, block pairs are
-spread over tasks, and a 512-bin one-permutation sketch (5.5 standard errors of slack) and the size bound admit a
-pair to the verification on full sets. No bucket is capped and no candidate dropped by count.
+spread over tasks, each pair is looked at in the first table it shares, and a 512-bin one-permutation sketch (5.5
+standard errors of slack) and the size bound admit it to the verification on full sets. No bucket is capped and no candidate dropped by count.
 
 Defined results: null or blank texts have an empty set (n_shingles 0), are linked with nothing and kept. Rows with
 the same doc_id count as one document. A null doc_id gets its text's component (null if no numbered row has that
@@ -32,6 +32,7 @@ from tidelog.llm.components import components
 from tidelog.llm.scratch import Scratch, spark_of
 
 GROUPS, ROWS, BINS, BLOCK = 16, 3, 512, 256
+BROADCAST = 1_000_000  # ids, 8 bytes each, sent to all executors at most; more are joined by a shuffle
 SLICE = 1 << 21
 _SEEDS = T.mix(np.arange(1, 4 * GROUPS * ROWS + 1, dtype=T.U) * T.U(77777))
 
@@ -106,7 +107,7 @@ def _blocks(percent: int):
 
     def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(rows["cid"], kind="stable")
-        cid, comp, n, chunk, sketch = (rows[k][order] for k in ("cid", "comp", "n", "chunk", "sketch"))
+        cid, comp, n, chunk, sketch, a = (rows[k][order] for k in ("cid", "comp", "n", "chunk", "sketch", "a"))
         across = rows["lo"][0] != rows["hi"][0]
         left, right = [], []
         for i in range(len(cid) - 1):
@@ -119,7 +120,12 @@ def _blocks(percent: int):
                 used = ((rest > 0) | (one > 0)).sum(1)
                 same = ((rest == one) & (one > 0)).sum(1)
                 t = percent / 100
-                j = j[same >= used * (t - 5.5 * np.sqrt(t * (1 - t) / used))]
+                union = np.maximum((n[j] + n[i]) / (1 + t), used)  # of sets at the threshold; the bins sample it without replacement
+                j = j[same + 2 >= used * (t - 5.5 * np.sqrt(t * (1 - t) / used * (1 - used / union)))]
+            if len(j):  # a holds the tables' keys in ascending order
+                shared = (a[j][:, :, None] == a[i][None, None, :]).any(2)
+                j = j[a[j, shared.argmax(1)] == rows["key"][0]]
+            if len(j):
                 left.append(np.full(len(j), cid[i]))
                 right.append(cid[j])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -129,6 +135,13 @@ def _blocks(percent: int):
         rest: dict[str, np.ndarray] | None = None
         names = ("key", "lo", "hi", "cid", "comp", "n", "chunk")
 
+        def tables(column, cid):
+            """The keys of each row, sorted, with marks of its own in place of the missing."""
+            out = np.repeat(np.arange(len(cid))[:, None], GROUPS, 1) - (1 << 62)
+            sizes = np.asarray(column.value_lengths())
+            out[np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(k) for k in sizes])] = column.flatten().to_numpy()
+            return np.sort(np.where(out < len(cid) - (1 << 62), (-(1 << 62)) - cid[:, None], out), 1)
+
         def pairs(rows, start, end):
             return compare({k: v[start:end] for k, v in rows.items()})
 
@@ -136,6 +149,7 @@ def _blocks(percent: int):
             now = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
             raw = b"".join(batch.column(len(names)).to_pylist())
             now["sketch"] = np.frombuffer(raw, np.uint8).reshape(-1, BINS)
+            now["a"] = tables(batch.column(len(names) + 1), now["cid"])
             if rest is not None:
                 now = {k: np.concatenate([rest[k], now[k]]) for k in now}
             change = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["lo"]) != 0) | (np.diff(now["hi"]) != 0)) + 1
@@ -173,8 +187,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     pivots = tables.groupBy("k").agg(F.min("cid").alias("p"), F.max("cid").alias("q")).where("p < q").select("k", "p")
     stars = scratch.keep(tables.join(pivots, "k").where("cid > p").select(F.col("p").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
 
-    members = stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    texts = rows.join(members, rows.doc_id == members.cid).select("cid", "text").dropDuplicates(["cid", "text"])
+    members = scratch.keep(stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "members")
+    few = F.broadcast(members) if members.count() <= BROADCAST else members
+    texts = rows.join(few, rows.doc_id == few.cid).select("cid", "text").dropDuplicates(["cid", "text"])
     texts = scratch.keep(texts.mapInArrow(_sketches(size), "cid long, text string, n long, sketch binary"), "texts")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -186,11 +201,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     found = components(first, scratch, "c1")
 
     label = members.join(found, members.cid == found.node, "left").select("cid", F.coalesce("component", "cid").alias("comp"))
-    in_a = alive.select("cid", F.explode("a").alias("key")).join(label, "cid")
+    in_a = alive.select("cid", "a", F.explode("a").alias("key")).join(label, "cid")
     mixed = in_a.groupBy("key").agg(F.count("*").alias("s"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("s > 2 and c0 <> c1").select("key", F.ceil(F.col("s") / BLOCK).cast("int").alias("blocks"))
     open_rows = in_a.join(mixed, "key").join(texts.select("cid", "n", "sketch"), "cid").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    spread = open_rows.select("key", "cid", "comp", "n", "chunk", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "cid", "comp", "n", "chunk", "sketch")
+    spread = open_rows.select("key", "cid", "comp", "n", "chunk", "sketch", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "cid", "comp", "n", "chunk", "sketch", "a")
     spread = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = spread.mapInArrow(_blocks(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     second = links(scratch.keep(pairs, "pairs"), "links2")
