@@ -96,16 +96,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broad
     found = at.withColumn("h", F.xxhash64(five)).join(spots, "h")
     start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("b"), F.size("words") - F.col("length")))
     windows = found.withColumn("start", start).select("doc_id", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("window")).distinct()
-    windows = windows.select("doc_id", "start", shingle_list(F.col("window")).alias("window"))
+    windows = windows.select("doc_id", "start", "length", shingle_list(F.col("window")).alias("window"))
     windows = scratch.keep(windows.withColumn("fp", simhash(F.col("window"))), "windows")
 
     values = lambda fp: F.array(*[F.struct(F.lit(k).alias("block"), _block(fp, *b).alias("value")) for k, b in enumerate(BLOCKS)])
     near = [_near_values(k, _block(F.col("item_fp"), o, bits), bits) for k, (o, bits) in enumerate(BLOCKS)]
-    index = items.select("item_id", "item_fp", F.explode(F.concat(*near)).alias("e")).select("item_id", "item_fp", "e.*")
-    probes = windows.select("doc_id", "start", "fp", F.explode(values(F.col("fp"))).alias("e")).select("doc_id", "start", "fp", "e.*")
-    pairs = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = pairs.select("doc_id", "start", "fp", "item_id", "item_fp").distinct()
-    rated = pairs.join(windows, ["doc_id", "start", "fp"]).join(items, ["item_id", "item_fp"])
+    index = items.select("item_id", "item_fp", "length", F.explode(F.concat(*near)).alias("e")).select("item_id", "item_fp", "length", "e.*")
+    probes = windows.select("doc_id", "start", "length", "fp", F.explode(values(F.col("fp"))).alias("e")).select("doc_id", "start", "length", "fp", "e.*")
+    pairs = probes.join(index, ["block", "value", "length"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    pairs = pairs.select("doc_id", "start", "length", "fp", "item_id", "item_fp").distinct()
+    rated = pairs.join(windows, ["doc_id", "start", "length", "fp"]).join(items.drop("length"), ["item_id", "item_fp"])
     rated = rated.select("doc_id", "item_id", "start", weighted_similarity(F.col("window"), F.col("item")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = rated.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).cast("long").alias("start"))

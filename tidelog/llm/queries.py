@@ -67,8 +67,8 @@ FROM documents d JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1) m ON m.
 """
 
 ORACLE_SQL["op1_decontamination"] = r"""
-WITH texts AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+WITH texts AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 item_shingles AS (SELECT item_id, len(w) AS l, list_slice(w, k, k + 4) AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM items WHERE len(w) >= 5)),
 item_counts AS (SELECT item_id, l, s, count(*) AS c FROM item_shingles GROUP BY ALL),
 text_shingles AS (SELECT doc_id, n, i, list_slice(w, i + 1, i + 5) AS s FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS i FROM texts WHERE len(w) >= 5)),
