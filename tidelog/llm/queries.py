@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, mixing, near_dedup, token_files, toxicity
+from tidelog.llm import decontaminate, fingerprints, line_dedup, main_text, mixing, near_dedup, personal_data, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +26,36 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = dict([token_counts.byte_bpe_counter(byte_bpe()), token_counts.word_counter()])
+    return token_counts.counted(_table(spark, sf_dir, "documents"), versions)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_lines(_table(spark, sf_dir, "documents"))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return rows.withColumn("n_offending", F.size("offending").cast("long")).drop("offending")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(_table(spark, sf_dir, "documents"))
     return rows.withColumn("target", F.round("target", 3))
@@ -44,7 +65,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_token_files, op6_minhash_near_dedup, op8_toxicity, op10_mixing)}
+_ALL = (
+    op1_decontamination, op2_personal_data, op3_token_files, op4_token_counts, op5_line_dedup,
+    op6_minhash_near_dedup, op7_main_text, op8_toxicity, op9_fingerprints, op10_mixing,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
 
