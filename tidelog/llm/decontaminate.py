@@ -88,14 +88,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broad
     items = scratch.keep(items.withColumn("item_fp", simhash(F.col("item"))).dropDuplicates(), "items")
 
     spots = items.select("length", F.posexplode("item").alias("b", "s")).select(F.xxhash64("s").alias("h"), "length", "b").distinct()
-    if spots.count() <= broadcast_shingles:
-        spots = F.broadcast(spots)
+    few = spots.count() <= broadcast_shingles
     texts = docs.where("doc_id is not null").select("doc_id", word_list(F.col("text")).alias("words")).where(F.size("words") >= SIZE)
     at = texts.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SIZE)).alias("i"))
     five = F.concat_ws(" ", *[F.get("words", F.col("i") + k) for k in range(SIZE)])
-    found = at.withColumn("h", F.xxhash64(five)).join(spots, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("b"), F.size("words") - F.col("length")))
-    windows = found.withColumn("start", start).select("doc_id", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("window")).distinct()
+    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("b"), F.col("n") - F.col("length"))).alias("start")
+    if few:
+        windows = at.withColumn("h", F.xxhash64(five)).join(F.broadcast(spots), "h").withColumn("n", F.size("words")).select("doc_id", "words", start, "length")
+    else:  # only hashes are exchanged, and the texts that have windows are fetched again
+        places = at.select("doc_id", F.size("words").alias("n"), "i", F.xxhash64(five).alias("h")).join(spots, "h")
+        windows = places.select("doc_id", start, "length").distinct().join(texts, "doc_id")
+    windows = windows.select("doc_id", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("window")).where(F.size("window") >= SIZE).distinct()
     windows = windows.select("doc_id", "start", "length", shingle_list(F.col("window")).alias("window"))
     windows = scratch.keep(windows.withColumn("fp", simhash(F.col("window"))), "windows")
 

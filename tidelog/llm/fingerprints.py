@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnum as T
-from tidelog.llm.scratch import Scratch, spark_of
 
 TOSSES, LEVELS, FIRST, ENOUGH, SLOTS = 4, 6, 3, 8, 128
 SHARD, SLICE = 32 << 20, 1 << 19
@@ -176,20 +175,34 @@ def compared(docs: DataFrame) -> DataFrame:
     after the last the first), and against that next document.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    tops = _range_tops(rows)
+    last = max(0, len(tops) - 1) + int(bool(len(tops)) and bool(rows.where("doc_id is null").head(1)))
+    dealt = rows.select(_range_of(tops)("doc_id").alias("r"), "doc_id", "text").select(F.col("r.part").alias("part"), F.col("r.top").alias("top"), F.lit(False).alias("extra"), "doc_id", "text")
+    heads = dealt.where("top").groupBy("part").agg(F.min("text").alias("text"))  # one row a range
+    before = F.when(F.col("part") == 0, last).otherwise(F.col("part") - 1)
+    heads = heads.select(before.cast("int").alias("part"), F.lit(True).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "text")
+    both = dealt.drop("top").union(heads).repartition(last + 2, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    return both.mapInArrow(_in_order, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _range_tops(rows: DataFrame) -> np.ndarray:
+    """Greatest doc_id of each of the ranges of about SHARD bytes that ids are cut into, ascending. Only ids are exchanged, and a number a range comes back."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(12, -(-total // SHARD))
-    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(10_000, 10 * parts)))
-    cuts = sorted(set(rows.agg(cuts).first()[0] or []))  # as many numbers as ranges, at most
-    later = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c >= F.col("doc_id")))
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(later) if cuts else F.col("doc_id").isNull().cast("int")
-    rows = rows.select(part.cast("int").alias("part"), F.lit(False).alias("extra"), "doc_id", "text")
-    scratch = Scratch(spark_of(docs), "fingerprints")
-    tops = scratch.keep(rows.groupBy("part").agg(F.max("doc_id").alias("top")), "tops")  # one row a range
-    there = sorted(r[0] for r in tops.select("part").collect())
-    before = {p: there[k - 1] for k, p in enumerate(there)}
-    ahead = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map().cast("map<int,int>")
-    tops = F.broadcast(tops.withColumnRenamed("part", "p"))
-    heads = rows.join(tops, (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.min("text").alias("text"))
-    heads = heads.select(ahead[F.col("part")].alias("part"), F.lit(True).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "text")
-    dealt = rows.union(heads).repartition(len(cuts) + 2, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_in_order, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    ids = rows.select("doc_id").where("doc_id is not null").repartitionByRange(max(12, -(-total // SHARD)), "doc_id")
+    tops = ids.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("top")).select("top").toArrow()
+    return np.sort(tops.column(0).to_numpy())
+
+
+def _range_of(tops: np.ndarray):
+    """Column function: the range of an id, the highest ids first and null last, and whether the id begins it."""
+    kind = pa.struct([("part", pa.int32()), ("top", pa.bool_())])
+
+    @F.arrow_udf("struct<part:int,top:boolean>")
+    def place(ids: pa.Array) -> pa.Array:
+        none = np.asarray(ids.is_null())
+        at = np.searchsorted(tops, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        part = np.where(none, len(tops), len(tops) - 1 - at).astype(np.int32)
+        top = none | (tops[np.minimum(at, len(tops) - 1)] == ids.fill_null(0).to_numpy(zero_copy_only=False)) if len(tops) else none
+        return pa.StructArray.from_arrays([pa.array(part, pa.int32()), pa.array(top, pa.bool_())], fields=list(kind))
+
+    return place

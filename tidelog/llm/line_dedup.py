@@ -215,7 +215,7 @@ def distances_within(a: list[np.ndarray], b: list[np.ndarray], most: int = EDITS
     one, top = T.U(1), T.U(63)
     vp = np.full(n, (0xFFFFFFFFFFFFFFFF << (63 - most)) & 0xFFFFFFFFFFFFFFFF, T.U)
     vn = np.zeros(n, T.U)
-    distance, result = np.full(n, most, np.int64), np.zeros(n, np.int64)
+    distance, result = np.minimum(most, la), np.zeros(n, np.int64)
     result[lb == 0] = la[lb == 0]
     with np.errstate(over="ignore"):
         for j in range(1, columns + 1):

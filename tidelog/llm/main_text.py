@@ -8,7 +8,7 @@ blocks that are not furniture, substrings that repeat across pages of the host a
 The suffix array of a host concatenates the streams of its pages (furniture and open blocks; blocks are divided by a
 mark). Only common prefixes of DEPTH tokens or more count, so suffixes are dealt to tasks by their first DEPTH tokens:
 those that share them, neighbours in the array, meet in one task, and no host, however large, is gathered. Such a prefix
-repeats if it begins on MIN_PAGES distinct pages and on MIN_SHARE of the host's; exact copies of a stream count once.
+repeats if it begins on MIN_PAGES distinct pages and on MIN_SHARE of the host's; exact copies of a page count once.
 Every token of a repeated prefix is covered. A block shorter than DEPTH is one prefix of its own.
 
 The repeated prefixes go to the workers while there are at most BROADCAST of them; more are joined by a shuffle.
@@ -19,6 +19,7 @@ results. Truncated markup is read as far as it goes. Extra columns are ignored;
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -160,8 +161,13 @@ def _host(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _read(url: str | None, page: str | None):
-    """(text or None if open, blocks left open, streams of the blocks that are not the text)."""
+def _digest(page: str | None) -> int:
+    """Tells pages apart: exact copies of one count once in its host."""
+    return int.from_bytes(hashlib.blake2b((page or "").encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _read(page: str | None):
+    """(text or None if open, blocks left open, the stream: blocks that are not the text)."""
     blocks = blocks_of(page or "")
     own = [b for b in blocks if not b[1]]
     main = [b for b in own if b[2]] or [b for b in own if b[3]]
@@ -210,10 +216,9 @@ def _batches(batch):
 def _evidence(batches):
     for batch in batches:
         for rows in _batches(batch):
-            hosts, streams = [_host(r[1]) for r in rows], [_read(r[1], r[2])[2] for r in rows]
+            hosts, streams = [_host(r[1]) for r in rows], [_read(r[2])[2] for r in rows]
             marks = [np.unique(p).view(np.int64) for p in _prefixes(streams, hosts)]
-            digest = [int(np.bitwise_xor.reduce(T.mix(m.view(T.U)))) if len(m) else 0 for m in marks]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(digest, T.U).view(np.int64)), pa.array(marks, pa.list_(pa.int64()))], ["host", "stream", "prefixes"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([_digest(r[2]) for r in rows], pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["host", "page", "prefixes"])
 
 
 def _unique_runs(blocks: list[str], stream: list[str], names: np.ndarray, repeated: np.ndarray) -> tuple[list[str], int]:
@@ -256,7 +261,7 @@ def _texts(repeated: np.ndarray | None):
             more = batch.column(3).to_pylist() if repeated is None else None
             done = 0
             for rows in _batches(batch):
-                read = [_read(r[1], r[2]) for r in rows]
+                read = [_read(r[2]) for r in rows]
                 names = _prefixes([x[2] for x in read], [_host(r[1]) for r in rows])
                 texts, counts = [], []
                 for i, (text, blocks, stream) in enumerate(read):
@@ -280,8 +285,8 @@ def main_text(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """
     scratch = Scratch(spark_of(pages), "main-text")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    streams = rows.mapInArrow(_evidence, "host string, stream long, prefixes array<long>")
-    once = streams.groupBy("host", "stream").agg(F.first("prefixes").alias("prefixes"))
+    streams = rows.mapInArrow(_evidence, "host string, page long, prefixes array<long>")
+    once = streams.groupBy("host", "page").agg(F.first("prefixes").alias("prefixes"))
     once = scratch.keep(once, "streams")
     sizes = once.groupBy("host").agg(F.count("*").alias("pages"))
     need = sizes.select("host", F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("pages") * MIN_SHARE)).alias("need"))
@@ -292,17 +297,14 @@ def main_text(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
         known = np.sort(repeated.select("prefix").toArrow().column(0).to_numpy().view(T.U)) if repeated.head(1) else np.zeros(0, T.U)
         return rows.mapInArrow(_texts(known), kind)
     # each page with the repeated of its own prefixes
-    own = once.select("host", "stream", F.explode("prefixes").alias("prefix")).join(repeated, ["host", "prefix"])
-    own = own.groupBy("host", "stream").agg(F.collect_set("prefix").alias("prefixes"))
-    paired = rows.mapInArrow(_paired, "page_id long, url string, html string, host string, stream long")
-    return paired.join(own, ["host", "stream"], "left").select("page_id", "url", "html", "prefixes").mapInArrow(_texts(None), kind)
+    own = once.select("host", "page", F.explode("prefixes").alias("prefix")).join(repeated, ["host", "prefix"])
+    own = own.groupBy("host", "page").agg(F.collect_set("prefix").alias("prefixes"))
+    paired = rows.mapInArrow(_paired, "page_id long, url string, html string, host string, page long")
+    return paired.join(own, ["host", "page"], "left").select("page_id", "url", "html", "prefixes").mapInArrow(_texts(None), kind)
 
 
 def _paired(batches):
     for batch in batches:
         for rows in _batches(batch):
-            hosts = [_host(r[1]) for r in rows]
-            marks = [np.unique(p) for p in _prefixes([_read(r[1], r[2])[2] for r in rows], hosts)]
-            digest = [int(np.bitwise_xor.reduce(T.mix(m))) if len(m) else 0 for m in marks]
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(hosts, pa.string()), pa.array(np.array(digest, T.U).view(np.int64))], ["page_id", "url", "html", "host", "stream"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([_host(r[1]) for r in rows], pa.string()), pa.array([_digest(r[2]) for r in rows], pa.int64())], ["page_id", "url", "html", "host", "page"])

@@ -9,9 +9,8 @@ skippable frames, which zstd tools pass over:
               decompressed bytes; u32 count of frames, u8 0x80, u32 0x8F92EAB1 (the public zstd seekable format)
 `read_documents` decompresses only frames that hold a requested document and compares their checksums.
 
-Documents go to files in ascending doc_id order: quantiles of doc_id (a mergeable sketch) cut them into ranges, each
-range is sorted in its task and written under a task-unique name, then renamed, so a repeated task leaves one whole
-file. Files lie in the folder the cluster shares, reached by pyarrow.fs (file:, hdfs: and the like).
+Documents go to files in ascending doc_id order: Spark's range partitioning cuts the ids, each range is sorted and
+encoded in its task and written under a task-unique name, then renamed, so a repeated task leaves one whole file. Files lie in the folder the cluster shares, reached by pyarrow.fs (file:, hdfs: and the like).
 
 Encoding uses the tokenizers library. A text is cut before single spaces between non-space characters, where the
 byte-level pre-tokenizer always starts a new token, and each distinct piece is encoded once per worker.
@@ -31,7 +30,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnum as T
@@ -39,7 +39,7 @@ from tidelog.llm.scratch import Scratch, spark_of
 
 FRAME = 1 << 16
 CACHE = 300_000
-SHARD = 48 << 20  # bytes of text a file, about
+SHARD, SLICE = 48 << 20, 1 << 19  # bytes of text a file, about, and at a time
 NO_ID = -(1 << 63)
 _DOCS, _SEEK, _END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -104,23 +104,6 @@ class Encoder:
         return ids, np.bincount(doc, sizes, minlength=len(at) - 1).astype(np.int64)
 
 
-def _encoded(path: str, end_id: int):
-    def run(batches):
-        encoder = Encoder(path)
-        kind = np.uint32 if encoder.wide else np.uint16
-        for batch in batches:
-            data, at = T.utf8(batch.column(2))
-            out = []
-            for low, high in T.groups_of(at, 1 << 19):
-                ids, sizes = encoder.encode(data, at[low : high + 1])
-                ids, end = ids.astype(kind), np.cumsum(sizes)
-                tail = np.array([end_id], kind).tobytes()
-                out += [ids[e - s : e].tobytes() + tail for s, e in zip(sizes, end, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["part", "doc_id", "ids"])
-
-    return run
-
-
 class Writer:
     """Writes one file; documents come in order."""
 
@@ -207,28 +190,32 @@ class Reader:
         return np.frombuffer(b"".join(out), np.uint16 if self.width == 2 else np.uint32)
 
 
-def _write(folder: str, width: int):
-    def run(batches):
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        now, writer, temp, done = None, None, "", []
-
-        def finish():
-            total = writer.close()
-            store.move(temp, f"{base}/part-{now:06d}.tok")
-            done.append((now, len(writer.docs), total))
+def _write(folder: str, tokenizer: str, end_id: int):
+    """Encode the rows (doc_id, text) of a partition in order and write its file."""
 
+    def run(batches):
+        part, writer, out = TaskContext.get().partitionId(), None, None
         for batch in batches:
-            for part, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if part != now:
-                    if writer is not None:
-                        finish()
-                    now, temp = part, f"{base}/.{uuid.uuid4().hex}"
-                    writer = Writer(store.open_output_stream(temp), width)
-                writer.add(NO_ID if doc_id is None else doc_id, ids.as_buffer().to_pybytes())
+            if writer is None:
+                encoder = Encoder(tokenizer)
+                kind = np.uint32 if encoder.wide else np.uint16
+                tail = np.array([end_id], kind).tobytes()
+                store, base = fs.FileSystem.from_uri(folder)
+                store.create_dir(base, recursive=True)
+                temp = f"{base}/.{uuid.uuid4().hex}"
+                out = store.open_output_stream(temp)
+                writer = Writer(out, kind().itemsize)
+            names = batch.column(0).to_pylist()
+            data, at = T.utf8(batch.column(1))
+            for low, high in T.groups_of(at, SLICE):
+                ids, sizes = encoder.encode(data, at[low : high + 1])
+                ends = np.cumsum(sizes)
+                for k, e, s in zip(range(low, high), ends, sizes, strict=True):
+                    writer.add(NO_ID if names[k] is None else names[k], ids[e - s : e].astype(kind).tobytes() + tail)
         if writer is not None:
-            finish()
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in range(3)], ["part", "documents", "ids"])
+            total = writer.close()
+            store.move(temp, f"{base}/part-{part:06d}.tok")
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, len(writer.docs), total)], ["part", "documents", "ids"])
 
     return run
 
@@ -252,26 +239,18 @@ def _read_back(folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, width: int = 2) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Encode `docs` (doc_id, text) and write files to `folder`; (part, documents, ids) of each file, staged."""
-    spark = spark_of(docs)
-    scratch = Scratch(spark, "tokens")
+    scratch = Scratch(spark_of(docs), "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(12, -(-total // SHARD))
-    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(max(10_000, 10 * parts)))
-    cuts = sorted(set(rows.agg(cuts).first()[0] or []))  # as many numbers as files, at most
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part + 1)
-    coded = rows.select(part.cast("int").alias("part"), "doc_id", "text").mapInArrow(_encoded(tokenizer, end_id), "part int, doc_id long, ids binary")
-    ordered = coded.repartition(len(cuts) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    return scratch.keep(ordered.mapInArrow(_write(folder, width), "part long, documents long, ids long"), "files")
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = rows.repartitionByRange(max(12, -(-total // SHARD)), by_id).sortWithinPartitions(by_id, "text")
+    return scratch.keep(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part long, documents long, ids long"), "files")
 
 
 def read_digests(files: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, file) of every document, read from the files."""
-    from pyspark.sql import Window
-
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     offsets = files.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long").alias("offset"))
     spread = offsets.repartition("part")
