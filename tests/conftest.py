@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{shared}",
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{shared}",
         "spark.sql.warehouse.dir": str(shared / "warehouse"), "spark.default.parallelism": "4", "spark.driver.memory": "4g",
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
