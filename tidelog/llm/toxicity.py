@@ -76,6 +76,26 @@ def _instances(data: np.ndarray, at: np.ndarray):
     return np.concatenate(names), np.concatenate(which), doc[heads], first[heads] + low, last[tails] + low
 
 
+def _vocabulary(data: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Names, sorted, of the features that enough documents of a class have; memory is that of a slice and of the names."""
+    vocab, counts = np.zeros(0, T.U), np.zeros((2, 0))
+    for low, high in T.groups_of(at, SLICE):
+        names, sentence, owner, _, _ = _instances(data, at[low : high + 1])
+        owner = owner[sentence]
+        order = np.lexsort((owner, names))
+        names, owner = names[order], owner[order]
+        once = np.ones(len(names), bool)
+        once[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+        names, owner = names[once], owner[once] + low
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+        toxic = np.add.reduceat(y[owner], first) if len(first) else np.zeros(0)
+        new = np.stack([toxic, np.diff(np.append(first, len(names))) - toxic])
+        vocab, back = np.unique(np.concatenate([vocab, names[first]]), return_inverse=True)
+        both = np.concatenate([counts, new], 1)
+        counts = np.stack([np.bincount(back, both[k], minlength=len(vocab)) for k in (0, 1)])
+    return vocab[counts.max(0) >= max(1, min(6, int(y.sum()) // 10))]
+
+
 def fit(texts: list[str], labels: list[int], share: tuple[float, float] = (1.0, 1.0), rounds: int = 150, rate: float = 2.0, sparse: float = 3e-3) -> Model:
     """Train on the driver by full-batch gradient steps with momentum; `share` weighs the two classes.
 
@@ -87,35 +107,34 @@ def fit(texts: list[str], labels: list[int], share: tuple[float, float] = (1.0,
     if not len(y) or y.min() == y.max():
         return empty
     data, at = T.utf8(pa.array(texts, pa.string()))
-    names, which, docs, count = [], [], [], 0
-    for low, high in T.groups_of(at, SLICE):
-        n, w, d, _, _ = _instances(data, at[low : high + 1])
-        names.append(n)
-        which.append(w + count)
-        docs.append(d + low)
-        count += len(d)
-    names, which, docs = np.concatenate(names), np.concatenate(which), np.concatenate(docs)
-    vocab, name = np.unique(names, return_inverse=True)
-    pair = np.unique(docs[which] * len(vocab) + name)
-    toxic = np.bincount(pair % len(vocab), y[pair // len(vocab)], minlength=len(vocab))
-    clean = np.bincount(pair % len(vocab), minlength=len(vocab)) - toxic
-    held = np.maximum(toxic, clean) >= max(1, min(6, int(y.sum()) // 10))
-    keep = held[name]
-    vocab, name, which = vocab[held], (np.cumsum(held) - 1)[name[keep]], which[keep]
+    vocab = _vocabulary(data, at, y)
     if not len(vocab):
         return empty
-    pair = np.unique(which * len(vocab) + name)  # a feature counts once in a sentence
-    which, name = pair // len(vocab), pair % len(vocab)
+    slices, docs, count = [], [], 0  # of each slice (sentence, feature); sentences count on
+    for low, high in T.groups_of(at, SLICE):
+        names, sentence, owner, _, _ = _instances(data, at[low : high + 1])
+        spot = np.minimum(np.searchsorted(vocab, names), len(vocab) - 1)
+        real = vocab[spot] == names
+        pair = np.unique(sentence[real] * len(vocab) + spot[real])  # a feature counts once in a sentence
+        slices.append((slice(count, count + len(owner)), (pair // len(vocab)).astype(np.int32), (pair % len(vocab)).astype(np.int32)))
+        docs.append(owner + low)
+        count += len(owner)
+    docs = np.concatenate(docs)
     theta, bias = np.zeros(len(vocab)), -6.0
     pace, bias_pace = np.zeros(len(vocab)), 0.0
     cost = np.where(y > 0, share[1], share[0])
     has = np.bincount(docs, minlength=len(y)) > 0
+    z = np.empty(count)
     for _ in range(rounds):
-        z = np.clip(bias + np.bincount(which, theta[name], minlength=count), -30, 30)
+        for part, which, name in slices:
+            z[part] = bias + np.bincount(which, theta[name], minlength=part.stop - part.start)
+        np.clip(z, -30, 30, out=z)
         s = 1 / (1 + np.exp(-z))
         p = np.clip(-np.expm1(-np.bincount(docs, np.logaddexp(0, z), minlength=len(y))), 1e-9, 1)
         dz = s * ((1 - y / p) * cost * has)[docs]
-        pace = 0.9 * pace + np.bincount(name, dz[which], minlength=len(vocab)) / y.sum()
+        pace *= 0.9
+        for part, which, name in slices:
+            pace += np.bincount(name, dz[part][which], minlength=len(vocab)) / y.sum()
         bias_pace = 0.9 * bias_pace + dz.sum() / y.sum()
         theta -= rate * pace
         theta = np.sign(theta) * np.maximum(0, np.abs(theta) - rate * sparse)
@@ -134,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes:
     chosen = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     picked = chosen[0].union(chosen[1])  # 2 * per_class rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= max_bytes)
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
+    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id").drop_columns(["doc_id"])
     once = {t: y for t, y in zip(got["text"].to_pylist()[::-1], got["toxic"].to_pylist()[::-1], strict=True)}  # of equal texts the first
     y = list(once.values())
     n = [max(1, y.count(0)), max(1, y.count(1))]
