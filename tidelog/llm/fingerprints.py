@@ -23,10 +23,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import textnum as T
+from tidelog.llm.scratch import spark_of
 
 TOSSES, LEVELS, FIRST, ENOUGH, SLOTS = 4, 6, 3, 8, 128
 SHARD, SLICE = 32 << 20, 1 << 19
@@ -181,7 +182,9 @@ def compared(docs: DataFrame) -> DataFrame:
     heads = dealt.where("top").groupBy("part").agg(F.min("text").alias("text"))  # one row a range
     before = F.when(F.col("part") == 0, last).otherwise(F.col("part") - 1)
     heads = heads.select(before.cast("int").alias("part"), F.lit(True).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "text")
-    both = dealt.drop("top").union(heads).repartition(last + 2, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    both = dealt.drop("top").union(heads)
+    own = _own_partition(_partition_keys(spark_of(docs), last + 1))("part")
+    both = both.repartition(last + 1, own).sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
     return both.mapInArrow(_in_order, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
@@ -193,6 +196,23 @@ def _range_tops(rows: DataFrame) -> np.ndarray:
     return np.sort(tops.column(0).to_numpy())
 
 
+def _partition_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers that hash partitioning deals to n partitions, one each; by their own hash ranges would share some and leave others empty."""
+    ids = spark.range(64 * n).select(F.col("id").cast("int").alias("id"))
+    found = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).toArrow()
+    keys = np.arange(n, dtype=np.int32)
+    keys[found["p"].to_numpy()] = found["id"].to_numpy()
+    return keys
+
+
+def _own_partition(keys: np.ndarray):
+    @F.arrow_udf("int")
+    def key(part: pa.Array) -> pa.Array:
+        return pa.array(keys[part.to_numpy()], pa.int32())
+
+    return key
+
+
 def _range_of(tops: np.ndarray):
     """Column function: the range of an id, the highest ids first and null last, and whether the id begins it."""
     kind = pa.struct([("part", pa.int32()), ("top", pa.bool_())])
