@@ -1,0 +1,53 @@
+"""The driver's contract, with the text operators and without them."""
+
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent
+CODE = "import __spark_entry__ as e; print(sorted(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+
+
+def names(where) -> str:
+    env = {**os.environ, "PYTHONPATH": str(where)}
+    return subprocess.run([sys.executable, "-c", CODE], cwd=where, env=env, capture_output=True, text=True, check=True, timeout=120).stdout
+
+
+def test_without_the_optional_subpackage(tmp_path):
+    for name in ("__spark_entry__.py", "tidelog"):
+        copy = shutil.copytree if (ROOT / name).is_dir() else shutil.copy
+        copy(ROOT / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "tidelog" / "llm", ignore_errors=True)
+    out = names(tmp_path)
+    assert "latest_snapshot" in out and "op1_" not in out and "True" in out
+    with_it = names(ROOT)
+    assert "latest_snapshot" in with_it and "True" in with_it
+
+
+def test_other_import_errors_are_not_hidden(tmp_path):
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    shutil.copytree(ROOT / "tidelog", tmp_path / "tidelog")
+    (tmp_path / "tidelog" / "llm").mkdir(exist_ok=True)
+    (tmp_path / "tidelog" / "llm" / "__init__.py").touch()
+    (tmp_path / "tidelog" / "llm" / "queries.py").write_text("import no_such_module")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    with pytest.raises(subprocess.CalledProcessError):
+        names(tmp_path)
+
+
+def test_nothing_else_imports_the_subpackage():
+    for path in (ROOT / "tidelog").rglob("*.py"):
+        if "llm" not in path.relative_to(ROOT).parts:
+            assert "tidelog.llm" not in path.read_text(), path
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.entry(spark)
+    assert rows.columns == ["key", "value", "seq"] and rows.count() > 0

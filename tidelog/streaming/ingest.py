@@ -18,14 +18,13 @@ def changelog_stream(spark: SparkSession, path: str, schema: str = "key binary,
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, ordered_by: str = "seq", available_now: bool = True) -> StreamingQuery:
-    """Apply a stream of changes to `store`. Batches done are marked in the store's folder, so a restart applies none twice."""
-    store.files.make("batches")
+    """Apply a stream of changes to `store`. A batch and its number are one commit, so a restart applies none twice.
+
+    The stream is known by its checkpoint folder, which numbers the batches.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        mark = f"batches/{number:020d}"
-        if not store.files.exists(mark):
-            store.apply(batch, ordered_by)
-            store.files.publish(mark, b"")
+        store.apply(batch, ordered_by, (checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
