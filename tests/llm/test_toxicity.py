@@ -3,6 +3,7 @@
 import os
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,27 @@ def test_only_texts_and_labels_not_held_out_matter(spark):
     assert one == two and len(set(one.values())) == 2
 
 
+def test_a_long_document_is_in_the_sample(spark):
+    long = "The sea was calm and the day was fine. " * 2000
+    docs = spark.createDataFrame([(k, f"You are vile. {long}" if k % 2 else f"You are kind. {long}") for k in range(20)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.scored(docs, labels).collect())
+    assert toxicity.train(docs, labels, total_bytes=800_000).names.size  # as many as fit
+    assert not toxicity.train(docs, labels, total_bytes=1000).names.size
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_length_alone_is_not_toxic(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").collect() if r.text]
+    clean = [t for t, s in zip(clean, toxicity._rate(pa.array(clean), model, False)[0], strict=True) if s < 0.5]
+    text = "\n".join(clean)
+    assert len(text) > 4_000_000
+    long = [text[:1_000_000], text[-1_000_000:], text[:4_000_000]]
+    assert toxicity._rate(pa.array(long), model, False)[0].max() < 0.5
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))

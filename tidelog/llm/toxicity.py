@@ -1,13 +1,16 @@
 """Toxicity by multiple-instance learning: sentence scores joined by noisy-or, trained from document labels.
 
 A sentence ends at . ! ? or a line break. Its score is the logistic of a bias plus the weights of its words and of
-their first 4, 5 and 6 bytes; a document's score is 1 - prod(1 - sentence score). Only document labels are known in
-training, so the gradient reaches a sentence in proportion to its share of the blame, and the sentences that carry
+their first 4, 5 and 6 bytes. Training takes a document's score for 1 - prod(1 - sentence score). Only document labels are
+known there, so the gradient reaches a sentence in proportion to its share of the blame, and the sentences that carry
 the toxicity are found by the same scores.
 
-Fitting is bounded: at most `per_class` labelled documents of each class (those with the least hash of doc_id), none
-longer than `max_bytes`, are gathered on the driver; class weights make up for the share each class had. Scoring
-covers every whole text. Labels are read from rows with crc32(doc_id as text) mod 5 <> 0 only, and neither labels
+A document is rated by the same product over its offending sentences (0.5 or more); one that has none gets the score of
+its worst sentence. So slight scores do not add up with length, and a text joined from texts below 0.5 stays below 0.5.
+
+Fitting is bounded: at most `per_class` labelled documents of each class (those with the least hash of doc_id) are
+gathered on the driver, long ones as well, in the order of the hash as long as they fit into `total_bytes`; class
+weights make up for the share each class had. Scoring covers every whole text. Labels are read from rows with crc32(doc_id as text) mod 5 <> 0 only, and neither labels
 nor lang, source or doc_id enter a score.
 
 Defined results: null and empty texts, and texts without words, score 0.0. Repeated rows get equal scores. Labels
@@ -143,8 +146,8 @@ def fit(texts: list[str], labels: list[int], share: tuple[float, float] = (1.0,
     return Model.make(vocab[strong], theta[strong], float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 20_000) -> Model:
-    """Fit on the labelled documents that are not held out; `per_class` and `max_bytes` bound what the driver gathers."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, total_bytes: int = 24 << 20) -> Model:
+    """Fit on the labelled documents that are not held out; `per_class` and `total_bytes` bound what the driver gathers."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     totals = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(totals) < 2:
@@ -152,7 +155,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes:
     order = F.xxhash64("doc_id", F.lit(8))
     chosen = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     picked = chosen[0].union(chosen[1])  # 2 * per_class rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= max_bytes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("size")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size"))
+    fitting, left = [], total_bytes
+    for doc_id, toxic, size, _ in sorted(sizes.withColumn("hash", order).collect(), key=lambda r: (r.hash, r.doc_id)):
+        if size <= left:
+            fitting.append((doc_id, toxic))
+            left -= size
+    if not fitting:
+        return fit([], [])
+    picked = docs.sparkSession.createDataFrame(fitting, "doc_id long, toxic int")
     got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id").drop_columns(["doc_id"])
     once = {t: y for t, y in zip(got["text"].to_pylist()[::-1], got["toxic"].to_pylist()[::-1], strict=True)}  # of equal texts the first
     y = list(once.values())
@@ -184,7 +196,10 @@ def _rate(column, model: Model, found: bool):
             once[1:] = (np.diff(which) != 0) | (np.diff(spot) != 0)
             z += np.bincount(which[once], model.weights[spot[once]], minlength=len(docs))
         z = np.clip(z, -60, 30)
-        scores.append(-np.expm1(-np.bincount(docs, np.logaddexp(0, z), minlength=high - low)))
+        worst = np.full(high - low, -np.inf)
+        np.maximum.at(worst, docs, z)
+        joined = -np.expm1(-np.bincount(docs, np.logaddexp(0, z) * (z >= 0), minlength=high - low))
+        scores.append(np.maximum(joined, 1 / (1 + np.exp(-worst))))
         if found:
             bad = np.flatnonzero(z >= 0)
             cut = np.searchsorted(docs[bad], np.arange(high - low + 1))
