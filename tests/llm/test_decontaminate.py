@@ -56,6 +56,23 @@ def test_like_brute_force(spark):
     assert left == {d for d, _ in docs} - {d for d, _ in expected}
 
 
+def test_reordered_items_are_found(spark):
+    part = lambda c, n: [f"{c}{k}" for k in range(n)]
+    swapped = part("b", 30) + part("a", 30)
+    docs = [(1, part("x", 40) + swapped + part("y", 40)), (2, swapped), (3, swapped + part("y", 9)), (4, part("x", 9) + swapped), (5, part("a", 30) + part("x", 40)), (6, part("b", 26) + part("a", 26))]
+    docs = [(k, " ".join(w)) for k, w in docs] + [(1, " ".join(part("x", 7) + swapped))]  # another text of doc_id 1
+    item = " ".join(part("a", 30) + part("b", 30))
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string")
+    expected = {}
+    for d, t in docs:
+        if b := brute(t, item):
+            expected[d] = max(expected.get(d, b), b, key=lambda x: (x[0], -x[1]))
+    for shingles_sent in (2_000_000, 0):
+        got = D.matches(*args, broadcast_shingles=shingles_sent).collect()
+        assert {r.doc_id: (round(r.similarity, 9), r.start) for r in got} == {k: (round(s, 9), at) for k, (s, at) in expected.items()}
+    assert set(expected) == {1, 2, 3, 4}
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     rnd = random.Random(1)
     rows = []

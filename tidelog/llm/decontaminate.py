@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Words are runs of letters and digits of the lower-cased text; features are 5-word shingles, weighted by how often they
-occur in the window. A window is as long as the benchmark item it is held against. A window without any shingle of
-the benchmark has similarity 0 to every item, so windows are laid only where a shared shingle aligns the text with an
-item (clipped to the text; a text shorter than the item is one window).
+occur in the window. A window is as long as the benchmark item it is held against (a text shorter than the item is one
+window). Of all windows that hold as many shared shingles as the threshold asks for, those are laid that end with a
+shared shingle or start the text: what a window has in common with an item rises only where a shared shingle comes in,
+so the earliest of the best windows is among them, in whatever order the text has the item's shingles.
 
 Each window and each item has a 64-bit SimHash, cut into 6 blocks. If two fingerprints differ in at most RADIUS = 23
 bits, some block differs in at most 3 of them (6 * 4 = 24 > 23), so probing each block against the item blocks with up
@@ -87,18 +88,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broad
     items = items.select("item_id", F.size("words").alias("length"), shingle_list(F.col("words")).alias("item"))
     items = scratch.keep(items.withColumn("item_fp", simhash(F.col("item"))).dropDuplicates(), "items")
 
-    spots = items.select("length", F.posexplode("item").alias("b", "s")).select(F.xxhash64("s").alias("h"), "length", "b").distinct()
+    spots = items.select("length", F.explode("item").alias("s")).select(F.xxhash64("s").alias("h"), "length").distinct()
     few = spots.count() <= broadcast_shingles
-    texts = docs.where("doc_id is not null").select("doc_id", word_list(F.col("text")).alias("words")).where(F.size("words") >= SIZE)
-    at = texts.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SIZE)).alias("i"))
+    texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("digest"))  # rows of one doc_id may differ
+    listed = texts.select("doc_id", "digest", word_list(F.col("text")).alias("words")).where(F.size("words") >= SIZE)
+    at = listed.select("doc_id", "digest", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SIZE)).alias("i"))
     five = F.concat_ws(" ", *[F.get("words", F.col("i") + k) for k in range(SIZE)])
-    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("b"), F.col("n") - F.col("length"))).alias("start")
-    if few:
-        windows = at.withColumn("h", F.xxhash64(five)).join(F.broadcast(spots), "h").withColumn("n", F.size("words")).select("doc_id", "words", start, "length")
-    else:  # only hashes are exchanged, and the texts that have windows are fetched again
-        places = at.select("doc_id", F.size("words").alias("n"), "i", F.xxhash64(five).alias("h")).join(spots, "h")
-        windows = places.select("doc_id", start, "length").distinct().join(texts, "doc_id")
-    windows = windows.select("doc_id", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("window")).where(F.size("window") >= SIZE).distinct()
+    places = at.select("doc_id", "digest", F.size("words").alias("n"), "i", F.xxhash64(five).alias("h")).join(F.broadcast(spots) if few else spots, "h")
+    places = places.groupBy("doc_id", "digest", "n", "length").agg(F.sort_array(F.collect_set("i")).alias("places"))
+    sizes = F.least("n", "length") + F.col("length") - 2 * (SIZE - 1)  # shingles of window and item
+    need = F.greatest(F.lit(1), F.ceil(sizes * (threshold / (1 + threshold)) - 1e-9)).cast("int")
+    places = places.withColumn("need", need).where(F.size("places") >= F.col("need"))
+    ends = places.select("doc_id", "digest", "length", "need", "places", F.posexplode("places").alias("k", "end"))
+    full = (F.col("k") + 1 >= F.col("need")) & (F.get("places", F.col("k") - F.col("need") + 1) >= F.col("end") + SIZE - F.col("length"))
+    starts = ends.where(full).select("doc_id", "digest", "length", F.greatest(F.lit(0), F.col("end") + SIZE - F.col("length")).alias("start")).distinct()
+    # only hashes are exchanged, and the texts that have windows are fetched again
+    fetched = texts.join(starts.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "length")).alias("laid")), ["doc_id", "digest"])
+    windows = fetched.select("doc_id", word_list(F.col("text")).alias("words"), "laid").select("doc_id", "words", F.inline("laid"))
+    windows = windows.select("doc_id", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("window")).distinct()
     windows = windows.select("doc_id", "start", "length", shingle_list(F.col("window")).alias("window"))
     windows = scratch.keep(windows.withColumn("fp", simhash(F.col("window"))), "windows")
 
