@@ -58,6 +58,18 @@ def test_open_pages_lose_what_the_host_repeats(spark, broadcast):
     assert all(r.n_chars == len(r.text) for r in rows) and all(r.n_repeated > 0 for r in rows if r.page_id < 100)
 
 
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_what_repeats_does_not_hang_on_the_size_of_the_host(spark, broadcast):
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(500)]
+    section = "<p>This block stands below each page of one section alone</p><p>To the section</p>"
+    bodies = [" ".join(rnd.choice(words) for _ in range(20)) for _ in range(90)]
+    pages = [(k, f"http://a.org/{k}", f"<p>{b}</p>{section if k < 4 else ''}") for k, b in enumerate(bodies)]
+    for n in (4, 90):
+        got = {r.page_id: r.text for r in M.main_text(spark.createDataFrame(pages[:n], PAGES), broadcast).collect()}
+        assert got == dict(enumerate(bodies[:n]))
+
+
 def test_a_repeated_article_stays(spark):
     page = "<nav>menu of all pages of this host here</nav><article><p>A paragraph of more than eight words that repeats everywhere.</p><p>{}</p></article>"
     rows = M.main_text(spark.createDataFrame([(k, "http://a/", page.format(f"own {k}")) for k in range(9)], PAGES)).collect()

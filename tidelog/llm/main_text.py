@@ -8,7 +8,7 @@ blocks that are not furniture, substrings that repeat across pages of the host a
 The suffix array of a host concatenates the streams of its pages (furniture and open blocks; blocks are divided by a
 mark). Only common prefixes of DEPTH tokens or more count, so suffixes are dealt to tasks by their first DEPTH tokens:
 those that share them, neighbours in the array, meet in one task, and no host, however large, is gathered. Such a prefix
-repeats if it begins on MIN_PAGES distinct pages and on MIN_SHARE of the host's; exact copies of a page count once.
+repeats if it begins on MIN_PAGES distinct pages, however many the host has; exact copies of a page count once.
 Every token of a repeated prefix is covered. A block shorter than DEPTH is one prefix of its own.
 
 The repeated prefixes go to the workers while there are at most BROADCAST of them; more are joined by a shuffle.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import textnum as T
 from tidelog.llm.scratch import Scratch, spark_of
 
-DEPTH, MIN_PAGES, MIN_SHARE, BROADCAST = 8, 3, 0.1, 2_000_000
+DEPTH, MIN_PAGES, BROADCAST = 8, 3, 2_000_000
 MARK = "¶"
 SLICE = 1 << 20
 
@@ -288,10 +288,8 @@ def main_text(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     streams = rows.mapInArrow(_evidence, "host string, page long, prefixes array<long>")
     once = streams.groupBy("host", "page").agg(F.first("prefixes").alias("prefixes"))
     once = scratch.keep(once, "streams")
-    sizes = once.groupBy("host").agg(F.count("*").alias("pages"))
-    need = sizes.select("host", F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("pages") * MIN_SHARE)).alias("need"))
     counts = once.select("host", F.explode("prefixes").alias("prefix")).groupBy("host", "prefix").agg(F.count("*").alias("n"))
-    repeated = scratch.keep(counts.join(need, "host").where("n >= need").select("host", "prefix"), "repeated")
+    repeated = scratch.keep(counts.where(F.col("n") >= MIN_PAGES).select("host", "prefix"), "repeated")
     kind = "page_id long, url string, text string, n_chars long, n_repeated long"
     if repeated.limit(broadcast + 1).count() <= broadcast:
         known = np.sort(repeated.select("prefix").toArrow().column(0).to_numpy().view(T.U)) if repeated.head(1) else np.zeros(0, T.U)
