@@ -88,3 +88,26 @@ def test_like_all_pairs(spark, monkeypatch):
     for r in L.deduplicated(df).collect():
         text = dict(docs)[r.doc_id]
         assert r.text == (text and "\n".join(x for k, x in enumerate(text.split("\n")) if (r.doc_id, k) in kept or not x.strip()))
+
+
+def test_edits_grow_with_the_line(spark, monkeypatch):
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    seeds = [text(n) for n in (10, 15, 22, 26, 100, 119, 121, 122, 160, 279, 400, 700, 1300)]
+    lines = list(seeds)
+    for x in seeds:
+        lines += [edit(rnd, x, k) for k in (1, 2, 3, len(x) // 50, len(x) // 42, len(x) // 30) if k]
+    lines.append(seeds[9].replace(seeds[9][100:104], "WORD"))
+    lines = list(dict.fromkeys(lines))
+    near = lambda a, b: abs(len(a) - len(b)) <= L.allowed(min(len(a), len(b))) and distance(a, b) <= L.allowed(min(len(a), len(b)))
+    want = {k: sum(near(x, y) for y in lines if y != x) for k, x in enumerate(lines)}
+    assert want[len(lines) - 1] and sum(n > 0 for n in want.values()) > len(seeds) * 3
+    rows = L.near_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in rows} == want
+    assert [L.allowed(n).item() for n in (9, 10, 23, 24, 119, 120, 279, 40_000)] == [0, 1, 1, 2, 2, 3, 6, 1000]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab", max_size=90), st.text("ab", max_size=90), st.integers(0, 60))
+def test_distance_of_one_pair(a, b, most):
+    assert L.distance_within(points(a), points(b), most) == (distance(a, b) <= most)

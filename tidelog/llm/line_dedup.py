@@ -1,12 +1,16 @@
 """Line dedup by a segment-partition edit join.
 
-A line is what lies between line feeds; blank lines are left alone. Equal lines form one class. Two classes of NEAR code
-points or more are linked if their edit distance (code points inserted, deleted or replaced) is EDITS = 2 or less;
-shorter lines count as equal only if they are.
-
-Join. A line of length L is cut into three segments, which are its index entries under (L, segment). Two lines within
-two edits share a segment, and the substrings that must be looked up for it are known by length: for each indexed
-length from L - 2 to L, twelve in all (the window that multiple matches leave of the shifts). Entries are dealt to
+A line is what lies between line feeds; blank lines are left alone. Equal lines form one class. Two classes are linked
+if their edit distance (code points inserted, deleted or replaced) is at most what the shorter one's length allows: 1 from
+SHORT code points, EDITS = 2 from NEAR, and one in SHARE from LONG, without an upper bound. Lines below SHORT count as
+equal only if they are.
+
+Join. A line of length L < LONG that allows e edits is cut into e + 1 segments, which are its index entries under
+(L, segment). Two lines within e edits share a segment, and the substrings that must be looked up for it are known by
+length: for each indexed length from L - e to L, twelve in all for two edits (the window that multiple matches leave of the
+shifts). From LONG on an unedited stretch of GRAM + WINDOW - 1 code points is left between the edits, so the least
+hashed GRAM of every WINDOW is an entry (winnowing): lines that share the stretch share an entry. These are told apart by
+bands of length, lines at a band's low end entering the one below as well. Entries are dealt to
 buckets as packed arrays; a bucket sorts its own and keeps keys with an index entry and two lines. Keys that gather
 the same lines are one group. Groups are cut into blocks of BLOCK lines, block pairs are spread over tasks, and each pair
 of lines is looked at in the least group it shares: length and character counts first, then banded bit-parallel
@@ -30,7 +34,9 @@ from tidelog.llm import textnum as T
 from tidelog.llm.components import components
 from tidelog.llm.scratch import Scratch, spark_of
 
-EDITS, NEAR, BLOCK, BINS = 2, 24, 256, 64
+EDITS, SHORT, NEAR, SHARE, BLOCK, BINS = 2, 10, 24, 40, 256, 64
+LONG = (EDITS + 1) * SHARE
+GRAM, WINDOW, BAND = 16, 15, 1.25  # (LONG - 3) / 4 is 29.25, so a stretch of 30 is left at least
 BUCKET, FLUSH, SLICE = 64 << 20, 1 << 20, 1 << 20  # bytes of text a bucket, entries a flush, characters a slice
 BROADCAST = 1_000_000  # line names, 8 bytes each, sent to all executors at most; more are joined by a shuffle
 _B = 0x9E3779B97F4A7C15
@@ -54,12 +60,12 @@ def _slices(column):
 
 
 class _Lines:
-    """Lines of NEAR code points or more of one slice, with prefix sums that name any stretch of them."""
+    """Lines of SHORT code points or more of one slice, with prefix sums that name any stretch of them."""
 
     def __init__(self, points: np.ndarray):
         cuts = np.flatnonzero(points == 10)
         start, end = np.append(0, cuts + 1), np.append(cuts, len(points))
-        long = end - start >= NEAR
+        long = end - start >= SHORT
         self.points, self.start, self.length = points, start[long], (end - start)[long]
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(points) + 1, T.U)
@@ -73,9 +79,14 @@ class _Lines:
             return T.mix((self.sums[start + length] - self.sums[start]) * T._power(_INVERSE, len(self.points) + 1)[start] + length.astype(T.U))
 
 
-def _segments(length: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of segment k (of EDITS + 1) of lines of `length`; later ones are longer by one if it does not divide."""
-    parts = EDITS + 1
+def allowed(length):
+    """How many edits link a line of `length` code points to a line as long or longer."""
+    length = np.asarray(length)
+    return np.where(length < SHORT, 0, np.where(length < NEAR, 1, np.maximum(EDITS, length // SHARE)))
+
+
+def _segments(length: np.ndarray, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of segment k of `parts` of lines of `length`; later ones are longer by one if it does not divide."""
     base, longer = length // parts, length % parts
     before = np.maximum(0, k - (parts - longer))
     return k * base + before, base + (k >= parts - longer)
@@ -85,18 +96,48 @@ def entries_of(lines: _Lines) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all index entries and probes, and the line names they come from, the lowest bit marking an index entry."""
     keys, owners = [], []
     with np.errstate(over="ignore"):
-        for less in range(EDITS + 1):
-            for k in range(EDITS + 1):
-                place, size = _segments(lines.length - less, k)
-                tag = T.mix((lines.length - less).astype(T.U) * T.U(8) + T.U(k))
-                for shift in range(max(-k, less - (EDITS - k)), min(k, less + (EDITS - k)) + 1):
-                    at = place + shift
-                    ok = (at >= 0) & (at + size <= lines.length)
-                    keys.append(T.mix(lines.hash((lines.start + at)[ok], size[ok]) ^ tag[ok]))
-                    owners.append(lines.names[ok] | T.U(less == 0 and shift == 0))
+        for edits, low, high in ((1, SHORT, NEAR), (EDITS, NEAR, LONG)):  # of indexed lengths
+            for less in range(edits + 1):
+                some = np.flatnonzero((lines.length - less >= low) & (lines.length - less < high))
+                start, length, names = lines.start[some], lines.length[some], lines.names[some]
+                for k in range(edits + 1):
+                    place, size = _segments(length - less, k, edits + 1)
+                    tag = T.mix((length - less).astype(T.U) * T.U(8) + T.U(k))
+                    for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
+                        at = place + shift
+                        ok = (at >= 0) & (at + size <= length)
+                        keys.append(T.mix(lines.hash((start + at)[ok], size[ok]) ^ tag[ok]))
+                        owners.append(names[ok] | T.U(less == 0 and shift == 0))
+        for k, o in _winnowed(lines):
+            keys.append(k)
+            owners.append(o)
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _winnowed(lines: _Lines):
+    """Entries of the lines of LONG code points or more: the least GRAM of each WINDOW, by band of length."""
+    some = np.flatnonzero(lines.length >= LONG)
+    if not len(some):
+        return
+    length, names = lines.length[some], lines.names[some]
+    grams = length - GRAM + 1
+    line = np.repeat(np.arange(len(some)), grams)
+    place = np.arange(len(line)) - np.repeat(np.cumsum(grams) - grams, grams)
+    hashes = lines.hash(lines.start[some][line] + place, np.full(len(line), GRAM))
+    least = hashes[: len(hashes) - WINDOW + 1].copy()
+    for k in range(1, WINDOW):
+        np.minimum(least, hashes[k : k + len(least)], out=least)
+    line, whole = line[: len(least)], (place + WINDOW <= grams[line])[: len(least)]
+    line, least = line[whole], least[whole]
+    new = (np.diff(line, prepend=-1) != 0) | np.concatenate([[True], least[1:] != least[:-1]])
+    line, least = line[new], least[new]
+    band = lambda x: np.floor(np.log(x) / np.log(BAND)).astype(np.int64)
+    own, low = band(length), band(length / (1 + 1.01 / SHARE))  # the shortest line it may be linked to
+    for b, here in ((own, np.ones(len(line), bool)), (low, (low < own)[line])):
+        tag = T.mix(b.astype(T.U) * T.U(8) + T.U(7))
+        yield T.mix(least[here] ^ tag[line[here]]), names[line[here]] | T.U(1)
+
+
 def _entries(bits: int):
     def run(batches):
         keys, owners, held = [], [], 0
@@ -237,17 +278,51 @@ def distances_within(a: list[np.ndarray], b: list[np.ndarray], most: int = EDITS
     return result <= most
 
 
+def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """The same of one pair and any `most`: how far each diagonal gets with 0, 1, 2... edits."""
+    la, lb = len(a), len(b)
+    if abs(la - lb) > most:
+        return False
+    step = np.arange(64)
+    a, b = np.concatenate([a, np.full(65, _PAD, np.uint32)]), np.concatenate([b, np.full(65, _PAD - 1, np.uint32)])
+    diagonal = np.arange(-most, most + 1)
+    end = np.minimum(la, lb - diagonal)
+    reach = np.full(2 * most + 3, -(1 << 40))  # one more at either side
+    reach[most + 1] = 0
+    for edits in range(most + 1):
+        if edits:
+            reach[1:-1] = np.minimum(np.maximum(np.maximum(reach[1:-1], reach[2:]) + 1, reach[:-2]), end)
+        at = np.flatnonzero(reach[1:-1] >= np.maximum(0, -diagonal))
+        i = reach[1:-1][at]
+        at = at[a[i] == b[i + diagonal[at]]]
+        while len(at):
+            i = reach[1:-1][at]
+            same = a[i[:, None] + step] == b[(i + diagonal[at])[:, None] + step]
+            more = np.where(same.all(1), len(step), same.argmin(1))
+            reach[1 + at] += more
+            at = at[more == len(step)]
+        if reach[1 + most + lb - la] == la:
+            return True
+    return False
+
+
 def _verify(points: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """distances_within of pairs, in chunks of like length."""
+    """Whether pairs are as near as the shorter one's length allows; the band's 63 diagonals do for 31 edits, in chunks of like length."""
     size = np.array([len(p) for p in points])
-    order, out, low = np.argsort(size[left], kind="stable"), np.zeros(len(left), bool), 0
-    while low < len(order):
-        high = low + 1
-        while high < len(order) and (high - low) * (size[left[order[high]]] + 8) < 1 << 20:
-            high += min(64, len(order) - high)
-        at = order[low:high]
-        out[at] = distances_within([points[i] for i in left[at]], [points[i] for i in right[at]])
-        low = high
+    most = allowed(np.minimum(size[left], size[right]))
+    out = np.zeros(len(left), bool)
+    for k in np.flatnonzero(most > 31):
+        out[k] = distance_within(points[left[k]], points[right[k]], int(most[k]))
+    for edits in np.unique(most[most <= 31]).tolist():
+        order, low = np.flatnonzero(most == edits), 0
+        order = order[np.argsort(size[left[order]], kind="stable")]
+        while low < len(order):
+            high = low + 1
+            while high < len(order) and (high - low) * (size[left[order[high]]] + 8) < 1 << 20:
+                high += min(64, len(order) - high)
+            at = order[low:high]
+            out[at] = distances_within([points[i] for i in left[at]], [points[i] for i in right[at]], edits)
+            low = high
     return out
 
 
@@ -284,10 +359,10 @@ def _links(batches):
         left, right = [], []
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
-            j = j[np.abs(size[j] - size[i]) <= EDITS]
+            j = j[np.abs(size[j] - size[i]) <= allowed(np.minimum(size[j], size[i]))]
             if lo != hi:
                 j = j[chunk[j] != chunk[i]]
-            j = j[np.abs(counts[j] - counts[i]).sum(1) <= 2 * EDITS]
+            j = j[np.abs(counts[j] - counts[i]).sum(1) <= 2 * allowed(np.minimum(size[j], size[i]))]
             j = np.array([k for k in j.tolist() if min(signs[i] & signs[k]) == sign], np.int64)
             left.append(np.full(len(j), i))
             right.append(j)
@@ -335,7 +410,7 @@ def near_lines(docs: DataFrame) -> DataFrame:
     dealt = texts.mapInArrow(_entries(bits), "bucket long, entries binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
     groups = dealt.mapInArrow(_groups, "sign long, size long, name long").distinct()
     groups = scratch.keep(groups, "groups")
-    names = scratch.keep(groups.groupBy("name").agg(F.collect_set("sign").alias("signs")), "names")  # a line has twelve keys at most
+    names = scratch.keep(groups.groupBy("name").agg(F.collect_set("sign").alias("signs")), "names")  # as many as a line has entries
 
     kind = "name long, class binary, line string"
     if names.count() <= BROADCAST:
