@@ -1,13 +1,13 @@
-"""Main text of web pages: structure first, then the host's suffix array for what structure leaves open.
+"""Main text of web pages: structure first, then what repeats on the host for what structure leaves open.
 
 A page is cut into blocks at block-level tags. Blocks in menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments (by tag, role, or class and id) are furniture. If other blocks lie in an <article>, or
 else in <main>, those are the text and are kept whole, whatever repeats in them. A page without either is open: of its
 blocks that are not furniture, substrings that repeat across pages of the host are removed and unique runs are kept.
 
-The suffix array of a host concatenates the streams of its pages (furniture and open blocks; blocks are divided by a
-mark). Only common prefixes of DEPTH tokens or more count, so suffixes are dealt to tasks by their first DEPTH tokens:
-those that share them, neighbours in the array, meet in one task, and no host, however large, is gathered. Such a prefix
+Repeated 8-token shingles stand in for a sorted suffix array of the host. It would concatenate the streams of its pages (furniture and open blocks; blocks are divided by a
+mark). Only common prefixes of DEPTH tokens or more count, and these are made of shared shingles of DEPTH tokens, so
+the hashed shingles are counted by host instead, and no host, however large, is gathered. Such a prefix
 repeats if it begins on MIN_PAGES distinct pages, however many the host has; exact copies of a page count once.
 Every token of a repeated prefix is covered. A block shorter than DEPTH is one prefix of its own.
 
