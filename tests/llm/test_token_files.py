@@ -26,14 +26,15 @@ def test_encoder_like_the_library():
     from tidelog.llm import textnum as T
 
     tokenizer, encoder = Tokenizer.from_file(queries.byte_bpe()), token_files.Encoder(queries.byte_bpe())
-    texts = [text() for _ in range(1500)] + ["", "a b c " * 9000]
+    texts = [text() for _ in range(1500)] + ["", "a b c " * 9000, " lead", "trail ", " <|endoftext|> x<|endoftext|>y"]
     import pyarrow as pa
 
-    ids, sizes = encoder.encode(*T.utf8(pa.array(texts)))
-    at = 0
-    for t, n in zip(texts, sizes, strict=True):
-        assert ids[at : at + n].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
-        at += n
+    for some in (["one"], [""], texts, texts[::-1]):  # pieces that never follow another, none, new ones, known ones
+        ids, sizes = encoder.encode(*T.utf8(pa.array(some)))
+        at = 0
+        for t, n in zip(some, sizes, strict=True):
+            assert ids[at : at + n].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+            at += n
 
 
 def test_round_trip(spark):

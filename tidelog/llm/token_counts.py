@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import textnum as T
 from tidelog.llm.scratch import shared_dir
-from tidelog.llm.token_files import Encoder
+from tidelog.llm.token_files import encoder_of
 from tidelog.sources.files import Files
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -43,7 +43,7 @@ def byte_bpe_counter(path: str) -> tuple[str, Column]:
 
     @F.arrow_udf("long")
     def count(text: pa.Array) -> pa.Array:
-        encoder = _encoder(path)
+        encoder = encoder_of(path)
         data, at = T.utf8(text)
         out = []
         for low, high in T.groups_of(at, 1 << 19):
@@ -53,15 +53,6 @@ def byte_bpe_counter(path: str) -> tuple[str, Column]:
     return version, count(F.col("text"))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:  # one a worker
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def word_counter() -> tuple[str, Column]:
     """Words: runs of anything but ASCII white space."""
     return "words@1", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

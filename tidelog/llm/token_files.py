@@ -38,41 +38,78 @@ from tidelog.llm import textnum as T
 from tidelog.llm.scratch import Scratch, spark_of
 
 FRAME = 1 << 16
-CACHE = 300_000
+CACHE, JOINED = 2_000_000, 1 << 15  # pieces a worker keeps, bytes encoded as one string
 SHARD, SLICE = 48 << 20, 1 << 19  # bytes of text a file, about, and at a time
 NO_ID = -(1 << 63)
 _DOCS, _SEEK, _END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
+_LEAD = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
 
 
 class Encoder:
-    """Vectorised front of a byte-level BPE tokenizer with a cache of encoded pieces."""
+    """Vectorised front of a byte-level BPE tokenizer with a cache of encoded pieces.
+
+    The cache is numpy only: sorted runs of piece names with their places in `flat`, the ids of all cached pieces. New
+    pieces are encoded joined to long strings; ids stand for so many bytes each, which tells where a piece ends.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        vocab = self.tokenizer.get_vocab()
+        self.wide = len(vocab) > 1 << 16
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes_of[np.fromiter(vocab.values(), np.int64, len(vocab))] = np.fromiter(map(len, vocab), np.int64, len(vocab))
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
-
-    def _add(self, names: list[int], texts: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.flat):
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.flat, self.used = np.zeros(1 << 16, np.uint32 if self.wide else np.uint16), 0
+        self.first, self.size, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), 0
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, and how many each has."""
+        got = [np.array(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return (np.concatenate(got) if got else self.flat[:0]), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _joined(self, raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces that may follow each other in a text."""
+        if not len(first):
+            return self.flat[:0], np.zeros(0, np.int64)
+        chunk = np.cumsum(last - first) // JOINED
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        pieces = [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        ids, _ = self._ids([b"".join(pieces[a:b]).decode() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pieces)], strict=True)])
+        reach, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(last - first)
+        upto = np.searchsorted(reach, ends)
+        if reach[-1] != ends[-1] or (reach[upto] != ends).any():
+            raise ValueError("not a byte-level vocabulary")
+        return ids, np.diff(upto + 1, prepend=0)
+
+    def _add(self, names: np.ndarray, raw: bytes, first: np.ndarray, last: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """Encode and cache pieces of `raw`, those that are not `free` one by one; their places."""
+        order = np.argsort(~free, kind="stable")
+        n = int(free.sum())
+        ids, sizes = self._joined(raw, first[order[:n]], last[order[:n]])
+        more, alone = self._ids([raw[first[k] : last[k]].decode() for k in order[n:]])
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, alone])
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.count + len(got) > len(self.size):
+        while self.count + len(sizes) > len(self.size):
             self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        self.flat[self.used : self.used + len(flat)] = flat
-        new = slice(self.count, self.count + len(got))
+        self.flat[self.used : self.used + len(ids)] = ids
+        new = slice(self.count, self.count + len(sizes))
         self.size[new], self.first[new] = sizes, self.used + np.cumsum(sizes) - sizes
-        self.known.update(zip(names, range(self.count, self.count + len(got)), strict=True))
-        self.used, self.count = self.used + len(flat), self.count + len(got)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(new.start, new.stop)
+        self.used, self.count = self.used + len(ids), new.stop
+        self.runs.append((names, place))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            both = [np.concatenate(x) for x in zip(self.runs.pop(), self.runs.pop(), strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            self.runs.append((both[0][order], both[1][order]))
+        return place
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts with offsets `at`, and how many each has."""
@@ -80,30 +117,45 @@ class Encoder:
         part = data[low:high]
         n = len(part)
         if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+            return self.flat[:0].copy(), np.zeros(len(at) - 1, np.int64)
         plain = (part > 0x20) & (part != 0x7F)
-        lead = np.isin(part, (0xC2, 0xE1, 0xE2, 0xE3))  # may begin or be a space beyond ASCII
+        lead = _LEAD[part]  # may begin or be a space beyond ASCII
         cut = np.zeros(n, bool)
         cut[3 : n - 1] = (part[3 : n - 1] == 0x20) & plain[2 : n - 2] & plain[4:] & ~lead[4:] & ~lead[1 : max(1, n - 3)] & ~lead[: max(0, n - 4)]
         cut[np.unique(at[:-1][at[:-1] < high] - low)] = True
         first = np.flatnonzero(cut)
         last = np.append(first[1:], n)
-        names = T.span_hashes(part, first, last)
-        unique, where, back = np.unique(names, return_index=True, return_inverse=True)
+        unique, where, back = np.unique(T.span_hashes(part, first, last), return_index=True, return_inverse=True)
         if self.count + len(unique) > CACHE and self.count:
             self.reset()
-        fresh = [(k, int(w)) for k, w in zip(unique.tolist(), where.tolist(), strict=True) if k not in self.known]
-        if fresh:
-            raw = part.tobytes()
-            self._add([k for k, _ in fresh], [raw[first[w] : last[w]] for _, w in fresh])
-        slot = np.fromiter((self.known[k] for k in unique.tolist()), np.int64, len(unique))[back.ravel()]
-        sizes = self.size[slot]
+        slot = np.full(len(unique), -1, np.int64)
+        for names, place in self.runs:
+            spot = np.minimum(np.searchsorted(names, unique), len(names) - 1)
+            hit = names[spot] == unique
+            slot[hit] = place[spot[hit]]
+        fresh = np.flatnonzero(slot < 0)
+        if len(fresh):
+            a, b = first[where[fresh]], last[where[fresh]]
+            free = (b - a > 2) & (part[a] == 0x20) & plain[np.minimum(a + 1, n - 1)] & ~lead[np.minimum(a + 1, n - 1)] & plain[b - 1] & ~lead[b - 2] & ~lead[b - 3]
+            slot[fresh] = self._add(unique[fresh], part.tobytes(), a, b, free)
+        slot = slot[back.ravel()]
+        sizes = self.size[slot].astype(np.int64)
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.first[slot] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.flat[np.repeat(self.first[slot] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
         doc = np.searchsorted(at, first + low, "right") - 1
         return ids, np.bincount(doc, sizes, minlength=len(at) - 1).astype(np.int64)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker and vocabulary, with the pieces it knows from earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Writer:
     """Writes one file; documents come in order."""
 
@@ -197,7 +249,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         part, writer, out = TaskContext.get().partitionId(), None, None
         for batch in batches:
             if writer is None:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 kind = np.uint32 if encoder.wide else np.uint16
                 tail = np.array([end_id], kind).tobytes()
                 store, base = fs.FileSystem.from_uri(folder)
