@@ -80,7 +80,7 @@ class Ledger:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         counts = [F.struct(F.lit(v).alias("tokenizer"), c.alias("tokens")) for v, c in self.tokenizers.items()]
         rows = rows.select("doc_id", "source", "lang", F.length("text").cast("long").alias("chars"), F.array(*counts).alias("counts"))
-        return rows.select("doc_id", "source", "lang", "chars", F.explode("counts").alias("c")).select("doc_id", "source", "lang", "c.tokenizer", F.lit(1).cast("long").alias("documents"), "c.tokens", "chars")
+        return rows.select("doc_id", "source", "lang", "chars", F.explode_outer("counts").alias("c")).select("doc_id", "source", "lang", "c.tokenizer", F.lit(1).cast("long").alias("documents"), "c.tokens", "chars")
 
     def _held(self, ids: DataFrame) -> DataFrame:
         """What earlier batches hold of documents, negated."""
