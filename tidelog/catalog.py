@@ -51,14 +51,15 @@ def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest made from events: file sst_(event_id % 400) is added and removed in turn."""
-    events = _table(spark, sf_dir, "events").where("event_id < 9700")
-    name = F.col("event_id") % 400
-    nth = F.floor(F.col("event_id") / 400)
-    return events.select(
-        F.col("event_id").alias("ordinal"), (name % 4).cast("int").alias("level"), F.concat(F.lit("sst_"), name.cast("string")).alias("filename"),
-        F.least(F.col("user_id"), name).cast("string").alias("start_key"), F.concat(F.greatest(F.col("user_id"), name).cast("string"), F.lit("~")).alias("end_key"),
-        (F.col("user_id") * 1000 + F.length("props")).cast("long").alias("bytes"), (nth % 2 == 1).alias("deleted"),
+    """A manifest made from all of events, four to a file: it is added and removed in turn. Of every second file the last
+    event adds another instead, so that one in two is there in the end and the live set grows with the table."""
+    name, nth = F.floor(F.col("event_id") / 4), F.col("event_id") % 4
+    other = (name % 2 == 1) & (nth == 3)
+    user = F.col("user_id").cast("string")
+    return _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("ordinal"), (F.floor(name / 2) % 4).cast("int").alias("level"), F.concat(F.lit("sst_"), name.cast("string"), F.when(other, "b").otherwise("")).alias("filename"),
+        F.concat_ws("/", user, "event_type").alias("start_key"), F.concat(user, F.lit("~")).alias("end_key"),
+        (F.col("user_id") * 1000 + F.length("props")).cast("long").alias("bytes"), ((nth % 2 == 1) & ~other).alias("deleted"),
     )
 
 
@@ -69,8 +70,8 @@ RUNS = f"SELECT segment_id, key, CASE WHEN op = 0 THEN value END AS value, op, s
 ORDERS = "SELECT o_orderkey % 4 AS segment_id, o_orderkey::VARCHAR AS key, o_orderpriority AS value, 0 AS op FROM orders"
 BYTES = "octet_length(encode({}))"
 SIZE = f"CASE WHEN op = 0 THEN 17 + {BYTES.format('key')} + coalesce({BYTES.format('value')}, 0) ELSE 13 + {BYTES.format('key')} END"
-ENTRIES = """SELECT event_id AS ordinal, (event_id % 400 % 4)::INT AS level, 'sst_' || (event_id % 400)::VARCHAR AS filename, least(user_id, event_id % 400)::VARCHAR AS start_key,
-  greatest(user_id, event_id % 400)::VARCHAR || '~' AS end_key, (user_id * 1000 + length(props))::BIGINT AS bytes, (event_id // 400) % 2 = 1 AS deleted FROM events WHERE event_id < 9700"""
+ENTRIES = """SELECT event_id AS ordinal, (event_id // 8 % 4)::INT AS level, 'sst_' || (event_id // 4)::VARCHAR || CASE WHEN event_id % 8 = 7 THEN 'b' ELSE '' END AS filename,
+  user_id::VARCHAR || '/' || event_type AS start_key, user_id::VARCHAR || '~' AS end_key, (user_id * 1000 + length(props))::BIGINT AS bytes, event_id % 8 IN (1, 3, 5) AS deleted FROM events"""
 LIVE_ENTRIES = f"SELECT * EXCLUDE (rn, deleted) FROM (SELECT *, row_number() OVER (PARTITION BY level, filename ORDER BY ordinal DESC) AS rn FROM ({ENTRIES})) WHERE rn = 1 AND NOT deleted"
 OFFSETS = f"SELECT *, row_number() OVER w - 1 AS record, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte FROM (SELECT *, ({SIZE})::BIGINT AS length FROM ({ORDERS})) WINDOW w AS (PARTITION BY segment_id ORDER BY key)"
 INDEX = f"SELECT segment_id, key, start_byte, length FROM ({OFFSETS}) WHERE record % 1000 = 0"
