@@ -23,10 +23,10 @@ word = st.text("abé", max_size=9)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(word, word), min_size=1, max_size=12), st.integers(0, 3))
+@given(st.lists(st.tuples(word, word), min_size=1, max_size=12), st.sampled_from([0, 1, 2, 3, 7, 8, 15, 16, 31]))
 def test_banded_distance(pairs, most):
     got = L.distances_within([points(a) for a, _ in pairs], [points(b) for _, b in pairs], most)
-    assert got.tolist() == [distance(a, b) <= most for a, b in pairs]
+    assert got.tolist() == [min(distance(a, b), most + 1) for a, b in pairs]
 
 
 def edit(rnd, text, n):
@@ -44,7 +44,7 @@ def test_lines_within_two_edits_share_an_entry(seed, length, edits):
     b = edit(rnd, a, edits)
     if len(b) < L.NEAR:
         return
-    (ka, oa), (kb, ob) = (L.entries_of(L._Lines(points(x))) for x in (a, b))
+    (ka, oa, *_), (kb, ob, *_) = (L.entries_of(L._Lines(points(x))) for x in (a, b))
     index = lambda k, o: set(k[(o & np.uint64(1)) == 1].tolist())
     assert set(ka.tolist()) & index(kb, ob) or set(kb.tolist()) & index(ka, oa)
 
@@ -108,6 +108,22 @@ def test_edits_grow_with_the_line(spark, monkeypatch):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text("ab", max_size=90), st.text("ab", max_size=90), st.integers(0, 60))
-def test_distance_of_one_pair(a, b, most):
-    assert L.distance_within(points(a), points(b), most) == (distance(a, b) <= most)
+@given(st.lists(st.tuples(st.text("ab", max_size=70), st.text("ab", max_size=70), st.integers(0, 50)), min_size=1, max_size=6))
+def test_distances_of_any_size(pairs):
+    got = L.distances_beyond([points(a) for a, _, _ in pairs], [points(b) for _, b, _ in pairs], np.array([m for *_, m in pairs]))
+    assert got.tolist() == [distance(a, b) <= m for a, b, m in pairs]
+
+
+def test_windows_of_long_lines_leave_a_shared_entry():
+    rnd = random.Random(3)
+    for length in [*range(120, 1300, 37), 2500]:
+        a = "".join(rnd.choice("abcdefgh ") for _ in range(length))
+        edits, b = int(L.allowed(length)), list(a)
+        for k in range(edits):  # evenly spaced, which leaves the shortest stretches
+            b[(k + 1) * length // (edits + 1)] = "Z"
+        (ka, *_), (kb, *_) = (L.entries_of(L._Lines(points(x))) for x in (a, "".join(b)))
+        assert set(ka.tolist()) & set(kb.tolist()), length
+        shorter = "".join(x for x in b if x != "Z")  # those characters gone: the other end of what is allowed, a band lower perhaps
+        if edits <= L.allowed(len(shorter)):
+            kc = L.entries_of(L._Lines(points(shorter)))[0]
+            assert set(ka.tolist()) & set(kc.tolist()), length

@@ -8,13 +8,19 @@ equal only if they are.
 Join. A line of length L < LONG that allows e edits is cut into e + 1 segments, which are its index entries under
 (L, segment). Two lines within e edits share a segment, and the substrings that must be looked up for it are known by
 length: for each indexed length from L - e to L, twelve in all for two edits (the window that multiple matches leave of the
-shifts). From LONG on an unedited stretch of GRAM + WINDOW - 1 code points is left between the edits, so the least
-hashed GRAM of every WINDOW is an entry (winnowing): lines that share the stretch share an entry. These are told apart by
-bands of length, lines at a band's low end entering the one below as well. Entries are dealt to
-buckets as packed arrays; a bucket sorts its own and keeps keys with an index entry and two lines. Keys that gather
-the same lines are one group. Groups are cut into blocks of BLOCK lines, block pairs are spread over tasks, and each pair
-of lines is looked at in the least group it shares: length and character counts first, then banded bit-parallel
-edit distance. A block pair gives counts and a spanning forest of its links, never a list of pairs, and nothing is capped.
+shifts). Longer lines are cut into e + 1 segments by their content instead, as looking up all shifts of all lengths grows
+with the cube of e: of the e + 1 stretches between edits one is as long as the mean, so the least hashed GRAM of every
+window of that length is an entry (winnowing), and lines that share the stretch share an entry. Entries are told apart by
+bands of length, lines at a band's low end entering the one below as well.
+
+Entries (13 bytes each, with the line's length within its band and the place in the line) are dealt to buckets as packed arrays;
+a bucket sorts its own, divides the lines of a key where places or lengths leave a gap too wide for a link, and keeps what
+has an index entry and two lines.
+Keys that gather the same lines are one group. Groups are cut into blocks of BLOCK lines
+and block pairs are spread over tasks, twice: first with a sketch of each line (length and character counts), which leaves
+lines that may be near another of the block; then with the lines themselves. A pair is looked at in one group only, the
+first that both have in order of size (lists of the TOPS largest tell for most, the whole lists for the rest). It is verified by banded bit-parallel edit distance. A task gives counts and a spanning forest of its links, never a
+list of pairs, and nothing is capped. Lines are named by 47 bits of a hash where candidates are sought, and by md5 elsewhere.
 
 Result: one row a class with its first occurrence, copies, links and the first occurrence of its component (links
 followed throughout). `deduplicated` keeps that one alone. Defined results: null texts have no lines; rows without
@@ -34,24 +40,32 @@ from tidelog.llm import textnum as T
 from tidelog.llm.components import components
 from tidelog.llm.scratch import Scratch, spark_of
 
-EDITS, SHORT, NEAR, SHARE, BLOCK, BINS = 2, 10, 24, 40, 256, 64
+EDITS, SHORT, NEAR, SHARE, BLOCK, BINS = 2, 10, 24, 40, 256, 32
 LONG = (EDITS + 1) * SHARE
-GRAM, WINDOW, BAND = 16, 15, 1.25  # (LONG - 3) / 4 is 29.25, so a stretch of 30 is left at least
-BUCKET, FLUSH, SLICE = 64 << 20, 1 << 20, 1 << 20  # bytes of text a bucket, entries a flush, characters a slice
+GRAM, BAND, TOPS = 16, 1.25, 8
+STEP, GAP = 0.001, 26  # lengths within a band by logarithm; two lines a share of 1 / SHARE apart differ by ln(1.025) / STEP, and 1 by rounding
+BUCKET, FLUSH, SLICE = 64 << 20, 1 << 20, 1 << 19  # bytes of text a bucket, entries a flush, characters a slice
+PAIRS, ROWS = 1 << 19, 1 << 12  # looked at together
 BROADCAST = 1_000_000  # line names, 8 bytes each, sent to all executors at most; more are joined by a shuffle
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 _PAD = 0xFFFFFFFF
+_ONE = T.U(1)
 
 
 def _slices(column):
-    """Texts of about SLICE characters joined by line feeds, as code points."""
+    """Texts of about SLICE characters joined by line feeds, as code points; a longer text is cut where a line ends."""
     held, size = [], 0
     for text in column:
-        text = text.as_py()
-        if text:
-            held.append(text)
-            size += len(text)
+        text, low = text.as_py(), 0
+        while text and low < len(text):
+            high = len(text)
+            if high - low > 2 * SLICE:
+                high = text.find("\n", low + SLICE)
+                high = len(text) if high < 0 else high
+            held.append(text[low:high] if low or high < len(text) else text)
+            size += high - low
+            low = high + 1
             if size >= SLICE:
                 yield np.frombuffer("\n".join(held).encode("utf-32-le"), np.uint32)
                 held, size = [], 0
@@ -70,8 +84,8 @@ class _Lines:
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(points) + 1, T.U)
             np.cumsum(T.mix(points.astype(T.U)) * T._power(_B, len(points)), out=self.sums[1:])
-        self.names = self.hash(self.start, self.length)
-        self.names, one = np.unique(self.names & ~T.U(1), return_index=True)
+        self.names = self.hash(self.start, self.length) >> T.U(17) << _ONE
+        self.names, one = np.unique(self.names, return_index=True)
         self.start, self.length = self.start[one], self.length[one]
 
     def hash(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -92,9 +106,10 @@ def _segments(length: np.ndarray, k: int, parts: int) -> tuple[np.ndarray, np.nd
     return k * base + before, base + (k >= parts - longer)
 
 
-def entries_of(lines: _Lines) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all index entries and probes, and the line names they come from, the lowest bit marking an index entry."""
-    keys, owners = [], []
+def entries_of(lines: _Lines) -> tuple[np.ndarray, ...]:
+    """Of all index entries and probes the key, the name of the line, the lowest bit marking an index entry, the line's length
+    within its band and the place in the line in steps of what edits can shift it."""
+    keys, owners, codes, places = [], [], [], []
     with np.errstate(over="ignore"):
         for edits, low, high in ((1, SHORT, NEAR), (EDITS, NEAR, LONG)):  # of indexed lengths
             for less in range(edits + 1):
@@ -108,48 +123,76 @@ def entries_of(lines: _Lines) -> tuple[np.ndarray, np.ndarray]:
                         ok = (at >= 0) & (at + size <= length)
                         keys.append(T.mix(lines.hash((start + at)[ok], size[ok]) ^ tag[ok]))
                         owners.append(names[ok] | T.U(less == 0 and shift == 0))
-        for k, o in _winnowed(lines):
-            keys.append(k)
-            owners.append(o)
-    return np.concatenate(keys), np.concatenate(owners)
+                        codes.append(np.zeros(len(owners[-1]), np.uint8))  # the key has the length and the place
+                        places.append(codes[-1])
+        for found in _winnowed(lines):
+            for column, part in zip((keys, owners, codes, places), found, strict=True):
+                column.append(part)
+    return tuple(np.concatenate(column) for column in (keys, owners, codes, places))
+
+
+def _band(length) -> np.ndarray:
+    return np.floor(np.log(length) / np.log(BAND) + 1e-9).astype(np.int64)
+
+
+def _window(band: int) -> int:
+    """How many GRAMs there are in the stretch that lines of a band share: between e edits on L characters one is (L - e) / (e + 1) long."""
+    length = np.arange(max(LONG, int(BAND**band) - 1), int(BAND ** (band + 1)) + 2)
+    edits = allowed(length)
+    return int((-(-(length - edits) // (edits + 1))).min()) - GRAM + 1
 
 
 def _winnowed(lines: _Lines):
-    """Entries of the lines of LONG code points or more: the least GRAM of each WINDOW, by band of length."""
+    """Entries of the lines of LONG code points or more, by band of length."""
     some = np.flatnonzero(lines.length >= LONG)
     if not len(some):
         return
-    length, names = lines.length[some], lines.names[some]
-    grams = length - GRAM + 1
-    line = np.repeat(np.arange(len(some)), grams)
-    place = np.arange(len(line)) - np.repeat(np.cumsum(grams) - grams, grams)
-    hashes = lines.hash(lines.start[some][line] + place, np.full(len(line), GRAM))
-    least = hashes[: len(hashes) - WINDOW + 1].copy()
-    for k in range(1, WINDOW):
-        np.minimum(least, hashes[k : k + len(least)], out=least)
-    line, whole = line[: len(least)], (place + WINDOW <= grams[line])[: len(least)]
-    line, least = line[whole], least[whole]
-    new = (np.diff(line, prepend=-1) != 0) | np.concatenate([[True], least[1:] != least[:-1]])
-    line, least = line[new], least[new]
-    band = lambda x: np.floor(np.log(x) / np.log(BAND)).astype(np.int64)
-    own, low = band(length), band(length / (1 + 1.01 / SHARE))  # the shortest line it may be linked to
-    for b, here in ((own, np.ones(len(line), bool)), (low, (low < own)[line])):
-        tag = T.mix(b.astype(T.U) * T.U(8) + T.U(7))
-        yield T.mix(least[here] ^ tag[line[here]]), names[line[here]] | T.U(1)
+    start, length, names = lines.start[some], lines.length[some], lines.names[some]
+    start = start.astype(np.int32)
+    own, low = _band(length), np.maximum(_band(LONG), _band(length / (1 + 1.01 / SHARE)))  # the shortest line it may be linked to
+    with np.errstate(over="ignore"):
+        grams = T.mix((lines.sums[GRAM:] - lines.sums[:-GRAM]) * T._power(_INVERSE, len(lines.sums))[: len(lines.sums) - GRAM])
+    # half a hash and the place: of all, and the least of 8 and of 16 from each on; those across lines are not used
+    least = {1: grams >> T.U(32) << T.U(32) | np.arange(len(grams), dtype=T.U)}
+    for k in (1, 2, 4, 8):
+        least[2 * k] = np.minimum(least[k][:-k], least[k][k:])
+    for band in np.unique(np.concatenate([own, low])).tolist():
+        here = np.flatnonzero((own == band) | (low == band))
+        window = _window(band)
+        of, more = (least[8], window - 8) if window <= 16 else (least[16], window - 16)
+        count = (length[here] - GRAM - window + 2).astype(np.int32)
+        ends = np.cumsum(count)
+        heads = ends - count
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((start[here] - heads).astype(np.int32), count)
+        found = np.minimum(of[at], of[at + np.int32(more)])
+        new = np.ones(len(found), bool)
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+        new[heads] = True
+        new = np.flatnonzero(new)
+        line = here[np.searchsorted(ends, new, "right")]
+        gram = (found[new] & T.U(0xFFFFFFFF)).astype(np.int64)
+        code = np.clip(np.floor((np.log(length) - np.log(BAND) * band) / STEP), 0, 255).astype(np.uint8)
+        place = ((gram - start[line]) // int(allowed(int(BAND ** (band + 1)) + 1))).astype(np.uint8)  # 42 at most
+        yield T.mix(grams[gram] ^ T.mix(T.U(band * 8 + 7))), names[line] | _ONE, code[line], place
 
 
 def _entries(bits: int):
+    """Batches (bucket, entries): of each entry 40 bits of the key, below the bucket's, the owner's 48, the length's 8 and the place's 8."""
+
     def run(batches):
-        keys, owners, held = [], [], 0
+        keys, held = [], 0
 
         def flush():
-            k, o = np.concatenate(keys), np.concatenate(owners)
-            bucket = (k >> T.U(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            k, o, bucket = k[order], o[order], bucket[order]
-            there, first = np.unique(bucket, return_index=True)
-            ends = np.append(first[1:], len(k))
-            blobs = [np.concatenate([k[a:b], o[a:b]]).tobytes() for a, b in zip(first, ends, strict=True)]
+            k, o, c, p = (np.concatenate(x) for x in zip(*keys, strict=True))
+            order = np.argsort(k)
+            k, o, c, p = k[order], o[order], c[order], p[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1])
+            k, o, c, p = k[new], o[new], c[new], p[new]
+            there, first = np.unique((k >> T.U(64 - bits)).astype(np.int64), return_index=True)
+            k = k >> T.U(24 - bits)
+            parts = (k.astype(np.uint32), o.astype(np.uint32), (o >> T.U(32)).astype(np.uint16), (k >> T.U(32)).astype(np.uint8), c, p)
+            blobs = [b"".join(x[a:b].tobytes() for x in parts) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(there), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
         for batch in batches:
@@ -157,65 +200,101 @@ def _entries(bits: int):
                 lines = _Lines(points)
                 if not len(lines.names):
                     continue
-                k, o = entries_of(lines)
-                keys.append(k)
-                owners.append(o)
-                held += len(k)
+                keys.append(entries_of(lines))
+                held += len(keys[-1][0])
                 if held >= FLUSH:
                     yield flush()
-                    keys, owners, held = [], [], 0
+                    keys, held = [], 0
         if keys:
             yield flush()
 
     return run
 
 
-def _shared(keys: np.ndarray, owners: np.ndarray):
+def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    n = len(blob) // 13
+    at = lambda kind, offset: np.frombuffer(blob, kind, n, offset * n)
+    wide = lambda low, kind, high: at(np.uint32, low).astype(T.U) | at(kind, high).astype(T.U) << T.U(32)
+    return wide(0, np.uint8, 10), wide(4, np.uint16, 8), at(np.uint8, 11), at(np.uint8, 12)
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where any of sorted columns changes."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _shared(keys: np.ndarray, owners: np.ndarray, codes: np.ndarray, places: np.ndarray):
     """(signature, size, line name) of the groups of one bucket's entries."""
-    order = np.lexsort((owners, keys))
-    keys, owners = keys[order], owners[order]
-    names = owners & ~T.U(1)
-    index = (owners & T.U(1)).astype(bool)
-    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
-    new = new_key | np.concatenate([[True], names[1:] != names[:-1]])
-    at = np.flatnonzero(new)
-    group = (np.cumsum(new_key) - 1)[at]
-    count = np.bincount(group)
-    indexed = np.bincount(np.cumsum(new_key) - 1, index) > 0
-    good = ((count > 1) & indexed)[group]
-    name, group = names[at][good], group[good]
-    if not len(name):
+    if len(keys) < 1 << 24:  # key and place in one number, which is sorted faster
+        order = np.sort(keys << T.U(24) | np.arange(len(keys), dtype=T.U))
+        sorted_keys, order = order >> T.U(24), (order & T.U((1 << 24) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        sorted_keys = keys[order]
+    same = sorted_keys[1:] == sorted_keys[:-1]
+    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    if not twice.any():
+        return None
+    order = order[twice]
+    keys, owners, codes, places = sorted_keys[twice], owners[order], codes[order].astype(np.int16), places[order].astype(np.int16)
+    order = np.lexsort((places, keys))  # first the lines of a key are divided by place, then each part by length
+    keys, owners, codes, places = keys[order], owners[order], codes[order], places[order]
+    part = np.cumsum(_new(keys) | np.concatenate([[True], places[1:] > places[:-1] + 1]))
+    order = np.lexsort((owners, codes, part))
+    owners, codes, part = owners[order], codes[order], part[order]
+    part = np.cumsum(_new(part) | np.concatenate([[True], codes[1:] > codes[:-1] + GAP]))
+    names = owners & ~_ONE
+    last = np.append(_new(part, names)[1:], True)  # the entry that marks an index entry, if a line has both
+    owners, names, part = owners[last], names[last], part[last]
+    group = np.cumsum(_new(part)) - 1
+    good = ((np.bincount(group) > 1) & (np.bincount(group, owners & _ONE) > 0))[group]
+    names, group = names[good], group[good]
+    if not len(names):
         return None
     first = np.flatnonzero(np.diff(group, prepend=-1))
     size = np.diff(np.append(first, len(group)))
     with np.errstate(over="ignore"):
-        sign = np.add.reduceat(T.mix(name), first)
-    return np.repeat(sign, size).view(np.int64), np.repeat(size, size), name.view(np.int64)
+        sign = np.add.reduceat(T.mix(names), first)
+    keep = np.zeros(len(sign), bool)
+    keep[np.unique(sign, return_index=True)[1]] = True
+    keep = np.repeat(keep, size)
+    return np.repeat(sign, size)[keep].view(np.int64), np.repeat(size, size)[keep], names[keep].view(np.int64)
 
 
 def _groups(batches):
     """Rows (bucket, entries) sorted by bucket."""
-    now, held = None, []
+    now, held, size = None, [], 0
 
     def close():
-        both = [np.frombuffer(b, T.U).reshape(2, -1) for b in held]
-        found = _shared(np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both]))
-        return found and pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["sign", "size", "name"])
+        found = _shared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        if found:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["sign", "size", "name"])
 
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if held and bucket != now:
                 if out := close():
                     yield out
-                held = []
+                held, size = [], 0
             now = bucket
-            held.append(blob.as_buffer().to_pybytes())
+            held.append(_unpacked(blob.as_buffer().to_pybytes()))
+            size += len(held[-1][0])
+            if size > 1 << 23:  # entries of one line in many slices
+                keys, owners, codes, places = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((places, owners, keys))
+                order = order[_new(keys[order], owners[order], places[order])]
+                held = [(keys[order], owners[order], codes[order], places[order])]
+                size = min(size // 2, len(held[0][0]))
     if held and (out := close()):
         yield out
 
 
 def _texts(wanted: np.ndarray | None):
-    """Lines (name, class, line) of the names `wanted` (sorted); all if None."""
+    """Lines (name, class, line, length, sketch) of the names `wanted` (sorted); all if None. The sketch counts characters by their low bits."""
 
     def run(batches):
         for batch in batches:
@@ -225,104 +304,252 @@ def _texts(wanted: np.ndarray | None):
                 if wanted is not None and len(keep):
                     spot = np.minimum(np.searchsorted(wanted, lines.names), max(0, len(wanted) - 1))
                     keep = np.flatnonzero(wanted[spot] == lines.names) if len(wanted) else keep[:0]
-                texts = [points[s : s + n].tobytes().decode("utf-32-le") for s, n in zip(lines.start[keep].tolist(), lines.length[keep].tolist(), strict=True)]
+                parts = [points[s : s + n] for s, n in zip(lines.start[keep].tolist(), lines.length[keep].tolist(), strict=True)]
+                texts = [p.tobytes().decode("utf-32-le") for p in parts]
                 ids = [hashlib.md5(t.encode()).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.names[keep].view(np.int64)), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["name", "class", "line"])
+                sketches = [c.tobytes() for c in _counts(parts).astype(np.uint16)]
+                columns = [pa.array(lines.names[keep].view(np.int64)), pa.array(ids, pa.binary()), pa.array(texts, pa.string()), pa.array(lines.length[keep]), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "class", "line", "length", "sketch"])
 
     return run
 
 
+def _counts(parts: list[np.ndarray]) -> np.ndarray:
+    """How often characters with each value of the low bits occur, up to 65,535."""
+    if not parts:
+        return np.zeros((0, BINS), np.int32)
+    line = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    counts = np.bincount(line * BINS + (np.concatenate(parts) & (BINS - 1)), minlength=len(parts) * BINS)
+    return np.minimum(counts, 0xFFFF).reshape(-1, BINS).astype(np.int32)
+
+
+def _pairs(block: np.ndarray):
+    """All pairs (i < j) of neighbours with equal `block`, about PAIRS of them at a time."""
+    n = len(block)
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    size = np.diff(np.append(first, n))
+    more = np.repeat(first + size, size) - np.arange(n) - 1
+    done, low = np.cumsum(more), 0
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + PAIRS, "right")))
+        left = np.repeat(np.arange(low, high), more[low:high])
+        step = np.arange(len(left)) - np.repeat(np.cumsum(more[low:high]) - more[low:high], more[low:high])
+        yield left, left + 1 + step
+        low = high
+
+
+def _may_be_near(table: pa.Table, block: np.ndarray, length: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block to look at, and whether it is settled that this is their only block.
+
+    Lengths and character counts admit them (an edit changes two counts by one at most). A pair whose `tops` meet is looked
+    at in the group of the first they share; lists being in the same order, none that both have can come before it.
+    """
+    across, chunk, sign = table["lo"].to_numpy() != table["hi"].to_numpy(), table["chunk"].to_numpy(), table["sign"].to_numpy()
+    tops = table["tops"].combine_chunks()
+    size = tops.value_lengths().to_numpy()
+    top = np.full((len(sign), TOPS), -1, np.int64)
+    rest = np.arange(TOPS) < size[:, None]
+    top[rest] = tops.flatten().to_numpy()
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for i, j in _pairs(block):
+        most = allowed(np.minimum(length[i], length[j]))
+        ok = (np.abs(length[i] - length[j]) <= most) & (~across[i] | (chunk[i] != chunk[j]))
+        i, j, most = i[ok], j[ok], most[ok]
+        for low in range(0, len(i), 1 << 16):
+            a, b = i[low : low + (1 << 16)], j[low : low + (1 << 16)]
+            near = np.abs(counts[a] - counts[b]).sum(1) <= 2 * most[low : low + (1 << 16)]
+            a, b = a[near], b[near]
+            both = (top[a][:, :, None] == top[b][:, None, :]).any(2) & rest[a]
+            settled = both.any(1)
+            keep = ~settled | (top[a, both.argmax(1)] == sign[a])
+            out.append((a[keep], b[keep], settled[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _blocks_of(batches, most: int):
+    """Tables (sign, lo, hi, ...) of `most` rows or more, sorted and whole by (sign, lo, hi), with a number for each block."""
+    held, size = [], 0
+
+    def numbered(table):
+        columns = [table.column(k).to_numpy() for k in range(3)]
+        new = np.zeros(table.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= most:
+            table = pa.Table.from_batches(held).combine_chunks()
+            block = numbered(table)
+            whole = int(np.searchsorted(block, block[-1]))
+            if whole:
+                yield table.slice(0, whole), block[:whole]
+            held, size = table.slice(whole).to_batches(), table.num_rows - whole
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, numbered(table)
+
+
+def _sketched(batches):
+    """Rows (sign, lo, hi, chunk, tops, name, class, length, sketch): those to be looked at with another of their block, without the last two."""
+    for table, block in _blocks_of(batches, ROWS):
+        counts = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
+        left, right, _ = _may_be_near(table, block, table["length"].to_numpy(), counts)
+        some = np.unique(np.concatenate([left, right]))
+        yield from table.take(pa.array(some)).select(["sign", "lo", "hi", "chunk", "tops", "name", "class"]).to_batches()
+
+
 def distances_within(a: list[np.ndarray], b: list[np.ndarray], most: int = EDITS) -> np.ndarray:
-    """Whether the edit distance of each pair of code point arrays is `most` or less; bit-parallel along a band of 2 * most + 1 diagonals.
+    """Edit distance of each pair of code point arrays, or `most` + 1 beyond that; bit-parallel along a band of 2 * most + 1 diagonals.
 
-    Bit 63 is the band's lowest row; the band goes down a row with each column, so vectors are kept shifted by one.
+    The top bit is the band's lowest row; the band goes down a row with each column, so vectors are kept shifted by one.
     """
     n = len(a)
-    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    la, lb = np.array([len(x) for x in a], np.int32), np.array([len(x) for x in b], np.int32)
     close = np.abs(la - lb) <= most
     if not n or not close.any():
-        return close
+        return np.full(n, most + 1, np.int32)
     if not close.all():
-        out = np.zeros(n, bool)
+        out = np.full(n, most + 1, np.int32)
         some = np.flatnonzero(close)
         out[some] = distances_within([a[i] for i in some], [b[i] for i in some], most)
         return out
+    kind, bits = next((k, w) for k, w in ((np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if 2 * most + 1 < w)
     columns = int(lb.max())
-    rows = np.full((max(int(la.max()), columns) + 2 * most + 1, n), _PAD, np.uint32)
-    text = np.full((columns, n), _PAD - 1, np.uint32)
+    rows = np.full((n, max(int(la.max()), columns) + 2 * most + 1), _PAD, np.uint32)
+    text = np.full((n, columns), _PAD - 1, np.uint32)
     for i in range(n):
-        rows[most : most + la[i], i] = a[i]
-        text[: lb[i], i] = b[i]
-    one, top = T.U(1), T.U(63)
-    vp = np.full(n, (0xFFFFFFFFFFFFFFFF << (63 - most)) & 0xFFFFFFFFFFFFFFFF, T.U)
-    vn = np.zeros(n, T.U)
-    distance, result = np.minimum(most, la), np.zeros(n, np.int64)
+        rows[i, most : most + la[i]] = a[i]
+        text[i, : lb[i]] = b[i]
+    rows, text = np.ascontiguousarray(rows.T), np.ascontiguousarray(text.T)
+    equal = np.zeros((columns, n), kind)  # bits of row j + most - d, kept at place row - 1 + most, for each column j
+    for d in range(2 * most + 1):
+        equal |= (rows[2 * most - d : 2 * most - d + columns] == text).astype(kind) << kind(bits - 1 - d)
+    one, top = kind(1), kind(bits - 1)
+    vp = np.full(n, ((1 << bits) - 1) << (bits - 1 - most) & ((1 << bits) - 1), kind)
+    vn = np.zeros(n, kind)
+    distance, result = np.minimum(most, la), np.zeros(n, np.int32)
     result[lb == 0] = la[lb == 0]
+    ending = np.bincount(lb, minlength=columns + 1)
+    first_past = int(la.min()) - most  # columns up to it are within all strings
     with np.errstate(over="ignore"):
         for j in range(1, columns + 1):
-            x = np.zeros(n, T.U)
-            for d in range(2 * most + 1):  # row j + most - d, kept at place row - 1 + most
-                x |= (rows[j + 2 * most - 1 - d] == text[j - 1]).astype(T.U) << T.U(63 - d)
+            x = equal[j - 1]
             d0 = (((x & vp) + vp) ^ vp) | x | vn
             hp = vn | ~(d0 | vp)
             hn = d0 & vp
-            past = j + most - la  # rows by which the band has left the first string
-            step = 1 - (d0 >> top).astype(np.int64)
-            bit = T.U(63) - np.clip(past, 0, 63).astype(T.U)
-            flat = (hp >> bit & one).astype(np.int64) - (hn >> bit & one).astype(np.int64)
-            distance += np.where(past <= 0, step, flat)
+            step = 1 - (d0 >> top).astype(np.int32)
+            if j > first_past:
+                past = j + most - la  # rows by which the band has left the first string
+                bit = top - np.clip(past, 0, bits - 1).astype(kind)
+                step = np.where(past <= 0, step, (hp >> bit & one).astype(np.int32) - (hn >> bit & one).astype(np.int32))
+            distance += step
             vp = hn | ~((d0 >> one) | hp)
             vn = (d0 >> one) & hp
-            done = lb == j
-            result[done] = distance[done]
-    return result <= most
-
-
-def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """The same of one pair and any `most`: how far each diagonal gets with 0, 1, 2... edits."""
-    la, lb = len(a), len(b)
-    if abs(la - lb) > most:
-        return False
-    step = np.arange(64)
-    a, b = np.concatenate([a, np.full(65, _PAD, np.uint32)]), np.concatenate([b, np.full(65, _PAD - 1, np.uint32)])
-    diagonal = np.arange(-most, most + 1)
-    end = np.minimum(la, lb - diagonal)
-    reach = np.full(2 * most + 3, -(1 << 40))  # one more at either side
-    reach[most + 1] = 0
-    for edits in range(most + 1):
+            if ending[j]:
+                done = lb == j
+                result[done] = distance[done]
+    return np.minimum(result, most + 1)
+
+
+def distances_beyond(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether each pair is within its own `most`, of any size: how far each diagonal gets with 0, 1, 2... edits, for all pairs at once."""
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out = np.zeros(len(a), bool)
+    live = np.flatnonzero(np.abs(la - lb) <= most)
+    if not len(live):
+        return out
+    pad = [np.array([_PAD], np.uint32), np.array([_PAD - 1], np.uint32)]  # a string's end equals nothing
+    first = np.concatenate([y for x in a for y in (x, pad[0])] + [np.full(32, _PAD, np.uint32)])
+    second = np.concatenate([y for x in b for y in (x, pad[1])] + [np.full(32, _PAD - 1, np.uint32)])
+    at_a, at_b = np.cumsum(la + 1) - la - 1, np.cumsum(lb + 1) - lb - 1
+    widest, step = int(most.max()), np.arange(16)
+    diagonal = np.arange(-widest, widest + 1)
+    reach = np.full((len(live), 2 * widest + 3), -(1 << 40))  # one more at either side
+    reach[:, widest + 1] = 0
+    for edits in range(widest + 1):
+        low, high = widest - edits, widest + edits + 1
+        now = reach[:, low + 1 : high + 1]
         if edits:
-            reach[1:-1] = np.minimum(np.maximum(np.maximum(reach[1:-1], reach[2:]) + 1, reach[:-2]), end)
-        at = np.flatnonzero(reach[1:-1] >= np.maximum(0, -diagonal))
-        i = reach[1:-1][at]
-        at = at[a[i] == b[i + diagonal[at]]]
-        while len(at):
-            i = reach[1:-1][at]
-            same = a[i[:, None] + step] == b[(i + diagonal[at])[:, None] + step]
-            more = np.where(same.all(1), len(step), same.argmin(1))
-            reach[1 + at] += more
-            at = at[more == len(step)]
-        if reach[1 + most + lb - la] == la:
-            return True
-    return False
+            further = np.maximum(np.maximum(now, reach[:, low + 2 : high + 2]) + 1, reach[:, low:high])
+            now[:] = np.minimum(further, np.minimum(la[live, None], lb[live, None] - diagonal[low:high]))
+        row, col = np.nonzero(now >= np.maximum(0, -diagonal[low:high]))
+        i = now[row, col]
+        x, y = at_a[live][row] + i, at_b[live][row] + i + diagonal[low:high][col]
+        same = np.flatnonzero(first[x] == second[y])
+        row, col, x, y = row[same], col[same], x[same], y[same]
+        while len(row):
+            equal = first[x[:, None] + step] == second[y[:, None] + step]
+            run = np.where(equal.all(1), len(step), equal.argmin(1))
+            now[row, col] += run
+            more = run == len(step)
+            row, col, x, y = row[more], col[more], x[more] + len(step), y[more] + len(step)
+        shift = np.clip(lb[live] - la[live], -edits, edits)
+        ended = (shift == lb[live] - la[live]) & (reach[np.arange(len(live)), widest + 1 + shift] == la[live])
+        out[live[ended]] = True
+        stay = ~ended & (most[live] > edits)
+        if not stay.any():
+            break
+        if not stay.all():
+            live, reach = live[stay], reach[stay]
+    return out
+
+
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two strings without the beginning and the end that they share, which leaves their distance as it is."""
+    n = min(len(a), len(b))
+    other = a[:n] != b[:n]
+    head = int(other.argmax()) if other.any() else n
+    other = a[len(a) - n + head :][::-1] != b[len(b) - n + head :][::-1]
+    tail = int(other.argmax()) if other.any() else n - head
+    return a[head : len(a) - tail], b[head : len(b) - tail]
+
+
+def _bigrams(points: list[np.ndarray]) -> np.ndarray:
+    """How often pairs of neighbouring characters occur, by 512 values of a hash."""
+    flat = np.concatenate(points)
+    line = np.repeat(np.arange(len(points)), [len(p) for p in points])
+    both = (flat[:-1] * np.uint32(37) + flat[1:]) & np.uint32(511)
+    inside = line[1:] == line[:-1]
+    return np.bincount(line[1:][inside] * 512 + both[inside], minlength=512 * len(points)).reshape(-1, 512).astype(np.int32)
 
 
 def _verify(points: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether pairs are as near as the shorter one's length allows; the band's 63 diagonals do for 31 edits, in chunks of like length."""
+    """Whether pairs are as near as the shorter one's length allows. An edit takes and gives two pairs of neighbours at most, so
+    their counts rule most of the others out; then the narrowest band that does, or two, in chunks of like length."""
     size = np.array([len(p) for p in points])
     most = allowed(np.minimum(size[left], size[right]))
-    out = np.zeros(len(left), bool)
-    for k in np.flatnonzero(most > 31):
-        out[k] = distance_within(points[left[k]], points[right[k]], int(most[k]))
-    for edits in np.unique(most[most <= 31]).tolist():
-        order, low = np.flatnonzero(most == edits), 0
-        order = order[np.argsort(size[left[order]], kind="stable")]
-        while low < len(order):
-            high = low + 1
-            while high < len(order) and (high - low) * (size[left[order[high]]] + 8) < 1 << 20:
-                high += min(64, len(order) - high)
-            at = order[low:high]
-            out[at] = distances_within([points[i] for i in left[at]], [points[i] for i in right[at]], edits)
-            low = high
+    counts, may = _bigrams(points), np.zeros(len(left), bool)
+    for low in range(0, len(left), 1 << 13):
+        high = low + (1 << 13)
+        may[low:high] = np.abs(counts[left[low:high]] - counts[right[low:high]]).sum(1) <= 4 * most[low:high]
+    cut = {k: _trimmed(points[left[k]], points[right[k]]) for k in np.flatnonzero(may).tolist()}
+    size = np.zeros(len(left), np.int64)
+    size[list(cut)] = [max(len(a), len(b)) for a, b in cut.values()]
+    out = may & (size <= most)  # all that is left may be replaced
+    for band, low, high in ((7, 0, 7), (15, 7, 1 << 62), (31, 15, 1 << 62)):
+        order, first = np.flatnonzero(may & ~out & (most > low) & (most <= high)), 0
+        order = order[np.argsort(size[order], kind="stable")]
+        while first < len(order):
+            last = first + 1
+            while last < len(order) and (last - first) * (size[order[last]] + 8) < 1 << 19:
+                last += min(64, len(order) - last)
+            at = order[first:last]
+            out[at] = distances_within([cut[k][0] for k in at.tolist()], [cut[k][1] for k in at.tolist()], band) <= np.minimum(band, most[at])
+            first = last
+    order, first = np.flatnonzero(may & ~out & (most > 31)), 0
+    order = order[np.argsort(most[order], kind="stable")]
+    while first < len(order):
+        last = first + 1
+        while last < len(order) and (last - first) * int(most[order[last]]) < 1 << 17:
+            last += 1
+        at = order[first:last]
+        out[at] = distances_beyond([cut[k][0] for k in at.tolist()], [cut[k][1] for k in at.tolist()], most[at])
+        first = last
     return out
 
 
@@ -342,51 +569,30 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _links(batches):
-    """Block pairs (sign, lo, hi, chunk, signs, class, line), sorted: rows (class, links, other), `other` null in rows that count."""
-    held: list[tuple] = []
-    now = None
-
-    def close():
-        rows = sorted({r[1]: r for r in held}.values(), key=lambda r: r[1])
-        sign, lo, hi = now
-        chunk = np.array([r[0] for r in rows])
-        points = [np.frombuffer(r[2].encode("utf-32-le"), np.uint32) for r in rows]
+    """Block pairs (sign, lo, hi, chunk, tops, signs, class, line), sorted: rows (class, links, other), `other` null in rows that count."""
+    for table, block in _blocks_of(batches, ROWS):
+        place = {c: k for k, c in enumerate(dict.fromkeys(table["class"].to_pylist()))}
+        names = list(place)
+        line = np.fromiter((place[c] for c in table["class"].to_pylist()), np.int64, len(block))
+        texts: list = [None] * len(names)
+        for k, t in zip(line.tolist(), table["line"].to_pylist(), strict=True):
+            texts[k] = t
+        points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
         size = np.array([len(p) for p in points])
-        counts = np.zeros((len(rows), BINS), np.int32)
-        for i, p in enumerate(points):
-            counts[i] = np.bincount(p & (BINS - 1), minlength=BINS)
-        signs = [set(r[3]) for r in rows]
-        left, right = [], []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            j = j[np.abs(size[j] - size[i]) <= allowed(np.minimum(size[j], size[i]))]
-            if lo != hi:
-                j = j[chunk[j] != chunk[i]]
-            j = j[np.abs(counts[j] - counts[i]).sum(1) <= 2 * allowed(np.minimum(size[j], size[i]))]
-            j = np.array([k for k in j.tolist() if min(signs[i] & signs[k]) == sign], np.int64)
-            left.append(np.full(len(j), i))
-            right.append(j)
-        left = np.concatenate(left) if left else np.zeros(0, np.int64)
-        right = np.concatenate(right) if right else np.zeros(0, np.int64)
+        left, right, settled = _may_be_near(table, block, size[line], _counts(points)[line])
+        open_, sign = np.flatnonzero(~settled), table["sign"].to_numpy()
+        lists = {i: table["signs"][i].as_py() for i in np.unique(np.concatenate([left[open_], right[open_]])).tolist()}
+        sets = {i: set(x) for i, x in lists.items()}
+        for k, i, j in zip(open_.tolist(), left[open_].tolist(), right[open_].tolist(), strict=True):  # the first of all groups that both have
+            settled[k] = next(x for x in lists[i] if x in sets[j]) == sign[i]
+        left, right = line[left[settled]], line[right[settled]]
         good = _verify(points, left, right)
         left, right = left[good], right[good]
-        links = np.bincount(left, minlength=len(rows)) + np.bincount(right, minlength=len(rows))
+        links = np.bincount(left, minlength=len(names)) + np.bincount(right, minlength=len(names))
         some = np.flatnonzero(links)
-        a, b = _forest(len(rows), left, right)
-        ids = [r[1] for r in rows]
-        out = [[ids[i] for i in some] + [ids[i] for i in b], links[some].tolist() + [0] * len(b), [None] * len(some) + [ids[i] for i in a]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["class", "links", "other"])
-
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(7)]
-        for s, lo, hi, chunk, signs, cls, line in zip(*columns, strict=True):
-            if held and (s, lo, hi) != now:
-                yield close()
-                held = []
-            now = (s, lo, hi)
-            held.append((chunk, cls, line, signs))
-    if held:
-        yield close()
+        a, b = _forest(len(names), left, right)
+        out = [[names[i] for i in some] + [names[i] for i in b], links[some].tolist() + [0] * len(b), [None] * len(some) + [names[i] for i in a]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["class", "links", "other"])
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -408,31 +614,37 @@ def near_lines(docs: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, (total // BUCKET).bit_length())
     dealt = texts.mapInArrow(_entries(bits), "bucket long, entries binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-    groups = dealt.mapInArrow(_groups, "sign long, size long, name long").distinct()
-    groups = scratch.keep(groups, "groups")
-    names = scratch.keep(groups.groupBy("name").agg(F.collect_set("sign").alias("signs")), "names")  # as many as a line has entries
+    groups = dealt.mapInArrow(_groups, "sign long, size long, name long")
+    groups = scratch.keep(groups.groupBy("sign", "name").agg(F.max("size").alias("size")), "groups")
+    order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("size"), "sign")))  # as many as a line has entries
+    names = scratch.keep(groups.groupBy("name").agg(order["sign"].alias("signs")), "names")
 
-    kind = "name long, class binary, line string"
+    wanted = None
     if names.count() <= BROADCAST:
         wanted = np.sort(names.select("name").toArrow().column(0).to_numpy().view(T.U)) if names.head(1) else np.zeros(0, T.U)
-        found = texts.mapInArrow(_texts(wanted), kind)
-    else:
-        found = texts.mapInArrow(_texts(None), kind).join(names.select("name"), "name", "left_semi")
-    found = scratch.keep(found.groupBy("class").agg(F.first("name").alias("name"), F.first("line").alias("line")), "texts")
+    found = scratch.keep(texts.mapInArrow(_texts(wanted), "name long, class binary, line string, length long, sketch binary"), "texts")
+    sketches = found.select("name", "class", "length", "sketch")
+    sketches = (sketches.join(names, "name", "left_semi") if wanted is None else sketches).groupBy("name", "class").agg(F.first("length").alias("length"), F.first("sketch").alias("sketch"))
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = groups.join(names, "name").join(found, "name").select("sign", blocks.alias("blocks"), "signs", "class", "line")
+    tops = names.select("name", F.slice("signs", 1, TOPS).alias("tops"))
+    rows = groups.join(tops.join(sketches, "name"), "name").withColumn("blocks", blocks)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sign", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "signs", "class", "line")
-    rows = rows.repartition("sign", "lo", "hi").sortWithinPartitions("sign", "lo", "hi")
-    linked = scratch.keep(rows.mapInArrow(_links, "class binary, links long, other binary"), "links")
+    rows = rows.select("sign", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "tops", "name", "class", "length", "sketch")
+    dealt = lambda df: df.repartition("sign", "lo", "hi").sortWithinPartitions("sign", "lo", "hi")
+    near = scratch.keep(dealt(rows).mapInArrow(_sketched, "sign long, lo int, hi int, chunk int, tops array<long>, name long, class binary"), "near")
+    some = scratch.keep(near.select("class").distinct(), "some")
+    few = F.broadcast(some) if some.count() <= BROADCAST else some
+    lines = found.select("class", "line").join(few, "class", "left_semi").groupBy("class").agg(F.first("line").alias("line"))
+    near = near.join(lines, "class").join(names, "name").select("sign", "lo", "hi", "chunk", "tops", "signs", "class", "line")
+    linked = scratch.keep(dealt(near).mapInArrow(_links, "class binary, links long, other binary"), "links")
     joined = components(linked.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")), scratch, "lines")
     degree = linked.where("other is null").groupBy("class").agg(F.sum("links").alias("n_links"))
     near = degree.join(joined, F.col("class") == F.col("node"), "left").select("class", "n_links", "component")
 
     every = scratch.keep(classes(docs), "classes")
-    near = scratch.keep(near.join(every.select("class", "first"), "class"), "near")
+    near = scratch.keep(near.join(every.select("class", "first"), "class"), "near-first")
     heads = near.groupBy("component").agg(F.min("first").alias("head"))
     near = near.join(heads, "component").select("class", "n_links", "head")
     out = every.join(near, "class", "left").withColumn("head", F.coalesce("head", "first"))
