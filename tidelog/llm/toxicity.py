@@ -9,7 +9,7 @@ A document is rated by the same product over its offending sentences (0.5 or mor
 its worst sentence. So slight scores do not add up with length, and a text joined from texts below 0.5 stays below 0.5.
 
 Fitting is bounded: at most `per_class` labelled documents of each class (those with the least hash of doc_id) are
-gathered on the driver, long ones as well, in the order of the hash as long as they fit into `total_bytes`; class
+gathered in one task, long ones as well, in the order of the hash as long as they fit into `total_bytes`; class
 weights make up for the share each class had. Scoring covers every whole text. Labels are read from rows with crc32(doc_id as text) mod 5 <> 0 only, and neither labels
 nor lang, source or doc_id enter a score.
 
@@ -19,6 +19,7 @@ that are null or not 0/1 are ignored; without labels of both classes every score
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,7 +82,7 @@ def _instances(data: np.ndarray, at: np.ndarray):
 
 def _vocabulary(data: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Names, sorted, of the features that enough documents of a class have; memory is that of a slice and of the names."""
-    vocab, counts = np.zeros(0, T.U), np.zeros((2, 0))
+    vocab, counts = np.zeros(0, T.U), np.zeros((2, 0), np.int32)
     for low, high in T.groups_of(at, SLICE):
         names, sentence, owner, _, _ = _instances(data, at[low : high + 1])
         owner = owner[sentence]
@@ -92,15 +93,16 @@ def _vocabulary(data: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
         names, owner = names[once], owner[once] + low
         first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
         toxic = np.add.reduceat(y[owner], first) if len(first) else np.zeros(0)
-        new = np.stack([toxic, np.diff(np.append(first, len(names))) - toxic])
-        vocab, back = np.unique(np.concatenate([vocab, names[first]]), return_inverse=True)
-        both = np.concatenate([counts, new], 1)
-        counts = np.stack([np.bincount(back, both[k], minlength=len(vocab)) for k in (0, 1)])
+        new, names = np.stack([toxic, np.diff(np.append(first, len(names))) - toxic]).astype(np.int32), names[first]
+        spot = np.searchsorted(vocab, names)
+        known = vocab[np.minimum(spot, len(vocab) - 1)] == names if len(vocab) else np.zeros(len(names), bool)
+        counts[:, spot[known]] += new[:, known]
+        vocab, counts = np.insert(vocab, spot[~known], names[~known]), np.insert(counts, spot[~known], new[:, ~known], axis=1)
     return vocab[counts.max(0) >= max(1, min(6, int(y.sum()) // 10))]
 
 
-def fit(texts: list[str], labels: list[int], share: tuple[float, float] = (1.0, 1.0), rounds: int = 150, rate: float = 2.0, sparse: float = 3e-3) -> Model:
-    """Train on the driver by full-batch gradient steps with momentum; `share` weighs the two classes.
+def fit(texts, labels, share: tuple[float, float] = (1.0, 1.0), rounds: int = 150, rate: float = 2.0, sparse: float = 3e-3) -> Model:
+    """Train by full-batch gradient steps with momentum; `share` weighs the two classes.
 
     After each step weights shrink by `rate * sparse` towards 0 (an L1 penalty), so what many toxic documents share wins over
     what is rare in each. Features of fewer than 6 documents of a class (or of a tenth as many as are toxic) are left out.
@@ -109,17 +111,17 @@ def fit(texts: list[str], labels: list[int], share: tuple[float, float] = (1.0,
     empty = Model.make(np.zeros(0, T.U), np.zeros(0), -60.0)
     if not len(y) or y.min() == y.max():
         return empty
-    data, at = T.utf8(pa.array(texts, pa.string()))
+    data, at = T.utf8(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     vocab = _vocabulary(data, at, y)
     if not len(vocab):
         return empty
-    slices, docs, count = [], [], 0  # of each slice (sentence, feature); sentences count on
+    slices, docs, count = [], [], 0  # of each slice its sentences, how many features each has, and the features
     for low, high in T.groups_of(at, SLICE):
         names, sentence, owner, _, _ = _instances(data, at[low : high + 1])
         spot = np.minimum(np.searchsorted(vocab, names), len(vocab) - 1)
         real = vocab[spot] == names
         pair = np.unique(sentence[real] * len(vocab) + spot[real])  # a feature counts once in a sentence
-        slices.append((slice(count, count + len(owner)), (pair // len(vocab)).astype(np.int32), (pair % len(vocab)).astype(np.int32)))
+        slices.append((slice(count, count + len(owner)), np.bincount(pair // len(vocab), minlength=len(owner)).astype(np.int32), (pair % len(vocab)).astype(np.int32)))
         docs.append(owner + low)
         count += len(owner)
     docs = np.concatenate(docs)
@@ -129,15 +131,15 @@ def fit(texts: list[str], labels: list[int], share: tuple[float, float] = (1.0,
     has = np.bincount(docs, minlength=len(y)) > 0
     z = np.empty(count)
     for _ in range(rounds):
-        for part, which, name in slices:
-            z[part] = bias + np.bincount(which, theta[name], minlength=part.stop - part.start)
+        for part, size, name in slices:
+            z[part] = bias + np.bincount(np.repeat(np.arange(len(size)), size), theta[name], minlength=len(size))
         np.clip(z, -30, 30, out=z)
         s = 1 / (1 + np.exp(-z))
         p = np.clip(-np.expm1(-np.bincount(docs, np.logaddexp(0, z), minlength=len(y))), 1e-9, 1)
         dz = s * ((1 - y / p) * cost * has)[docs]
         pace *= 0.9
-        for part, which, name in slices:
-            pace += np.bincount(name, dz[part][which], minlength=len(vocab)) / y.sum()
+        for part, size, name in slices:
+            pace += np.bincount(name, np.repeat(dz[part], size), minlength=len(vocab)) / y.sum()
         bias_pace = 0.9 * bias_pace + dz.sum() / y.sum()
         theta -= rate * pace
         theta = np.sign(theta) * np.maximum(0, np.abs(theta) - rate * sparse)
@@ -147,7 +149,7 @@ def fit(texts: list[str], labels: list[int], share: tuple[float, float] = (1.0,
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, total_bytes: int = 24 << 20) -> Model:
-    """Fit on the labelled documents that are not held out; `per_class` and `total_bytes` bound what the driver gathers."""
+    """Fit on the labelled documents that are not held out; `per_class` and `total_bytes` bound what one task gathers, the driver gets the weights."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     totals = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(totals) < 2:
@@ -165,13 +167,33 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, total_bytes
     if not fitting:
         return fit([], [])
     picked = docs.sparkSession.createDataFrame(fitting, "doc_id long, toxic int")
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id").drop_columns(["doc_id"])
-    once = {t: y for t, y in zip(got["text"].to_pylist()[::-1], got["toxic"].to_pylist()[::-1], strict=True)}  # of equal texts the first
-    y = list(once.values())
-    n = [max(1, y.count(0)), max(1, y.count(1))]
-    scale = [totals[k] / n[k] for k in (0, 1)]
-    top = max(scale)
-    return fit(list(once), y, (scale[0] / top, max(scale[1] / top, 0.2)))
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id", "text")
+    got = rows.mapInArrow(_fitted(totals), "names array<long>, weights array<double>, bias double").collect()  # one row
+    return Model.make(np.array(got[0].names, np.int64).view(T.U), np.array(got[0].weights, float), got[0].bias) if got else fit([], [])
+
+
+def _fitted(totals: dict[int, int]):
+    """Fit in one task on what `train` has bounded, (doc_id, text, toxic) in order; `totals` are the rows each class has in all."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        data, at = T.utf8(table["text"])
+        first: dict[bytes, int] = {}
+        for k in range(len(table)):  # of equal texts the first
+            first.setdefault(hashlib.md5(data[at[k] : at[k + 1]]).digest(), k)
+        chosen = pa.array(first.values(), pa.int64())
+        y = table["toxic"].take(chosen).to_pylist()
+        n = [max(1, y.count(0)), max(1, y.count(1))]
+        scale = [totals[k] / n[k] for k in (0, 1)]
+        top = max(scale)
+        model = fit(table["text"].combine_chunks().take(chosen), y, (scale[0] / top, max(scale[1] / top, 0.2)))
+        columns = [pa.array([model.names.view(np.int64)], pa.list_(pa.int64())), pa.array([model.weights], pa.list_(pa.float64())), pa.array([model.bias], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["names", "weights", "bias"])
+
+    return run
 
 
 def held_out(doc_id: Column) -> Column:
