@@ -98,3 +98,10 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
     plan = D.matches(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_clean_tells_rows_apart_without_ids(spark):
+    item = " ".join(f"item{k}" for k in range(20))
+    docs = spark.createDataFrame([(None, f"before {item} after"), (None, "clean text of more than five words"), (3, item), (3, "another clean text of some words"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r.text or "")[:7] for r in D.clean(docs, bench).collect()) == ["", "another", "clean t"]

@@ -58,3 +58,13 @@ def test_sampling_fills_the_targets(spark):
     assert {r.doc_id: r.taken for r in mixing.mixed(df.repartition(7)).collect()} == {r.doc_id: r.taken for r in rows}
     out = mixing.mix(df).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in out} == {r.doc_id: r.times for r in rows if r.times}
+
+
+def test_missing_and_repeated_ids_are_taken(spark):
+    rows = [(None, f"text {k} words", "a") for k in range(20)] + [(5, f"other {k} words here", "b") for k in range(20)] + [(6, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for r in mixing.mix(df).collect():
+        taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
+    goal = goals({"a": 60, "b": 80, None: 0})
+    assert abs(taken["a"] - goal["a"]) <= 3 and abs(taken["b"] - goal["b"]) <= 4

@@ -63,3 +63,11 @@ def test_members_by_a_shuffle(spark, monkeypatch):
     docs = corpus(random.Random(1))[:60]
     got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(docs, 85)
+
+
+def test_missing_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(1), "a"), (None, text(2), "b"), (None, text(2), "b"), (7, text(3), "c"), (7, text(4), "d"), (8, text(4) + " more", "e"), (None, None, "f"), (None, "", "g"), (9, text(1), "h")]
+    got = [(r.text, r.kept) for r in near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()]
+    assert sorted((t or "").split(" ")[0] for t, _ in got) == ["", "", "w1x0", "w2x0", "w3x0", "w4x0"]
+    assert {k for _, k in got} >= {"b", "c", "f", "g"}

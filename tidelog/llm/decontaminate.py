@@ -17,7 +17,7 @@ count); a larger benchmark is joined by a shuffle. Everything is built-in DataFr
 
 Defined results: null texts are empty and match nothing; items of fewer than 5 words are ignored, as no 5-word shingle
 tells them from prose; repeated rows of a document give the result once; rows without doc_id or item_id are ignored
-in `matches` and kept in `clean`; empty tables give no matches. Extra columns are ignored.
+in `matches`, while `clean` needs no ids of documents; empty tables give no matches. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,6 +122,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broad
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of `docs` that match no item, columns as they are; the matched documents are joined by a shuffle unless Spark finds them small."""
-    bad = matches(docs, benchmark, threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """The rows of `docs` that match no item, columns as they are; the matched documents are joined by a shuffle unless Spark finds them small.
+
+    Rows are named by a hash of doc_id and text, so ids may be missing or repeat.
+    """
+    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    bad = matches(named.select(F.col("__row").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("__bad")).distinct()
+    return named.join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")

@@ -63,13 +63,13 @@ def targets(totals: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, times) for every row of `docs` (doc_id, text, source).
 
-    `times` is how often the mix takes the document, `taken` the words that gives.
+    `times` is how often the mix takes the document, `taken` the words that gives. Columns named in `carry` follow.
     """
     scratch = Scratch(spark_of(docs), "mix")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), F.col("text"), quality_of(F.col("text")), seed).alias("key"))
+    rows = docs.select("doc_id", *carry, F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), F.col("text"), quality_of(F.col("text")), seed).alias("key"))
     rows = scratch.keep(rows, "sizes")
     cuts = F.percentile_approx("key", F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)]), F.lit(10 * SLICES))
     plan = rows.groupBy("source").agg(F.sum("size").alias("source_size"), cuts.alias("cuts"))
@@ -78,7 +78,7 @@ def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
     plan = scratch.keep(plan.join(goal.withColumnRenamed("source", "s").drop("source_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan")
 
     slot = F.size(F.filter("cuts", lambda c: c < F.col("key")))
-    placed = rows.alias("r").join(plan.select(F.col("source").alias("s"), "cuts"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "key", slot.alias("slot"))
+    placed = rows.alias("r").join(plan.select(F.col("source").alias("s"), "cuts"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", *carry, "source", "size", "key", slot.alias("slot"))
     placed = scratch.keep(placed, "placed")
     sums = placed.groupBy("source", "slot").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +87,7 @@ def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
     ranges = ranges.select("s", F.col("slot").alias("t"), "ahead", "words", "source_size", "target", "epochs", "rest")
     both = placed.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("t")))
 
-    base = ["doc_id", "size", "source_size", "target", "epochs"]
+    base = ["doc_id", *carry, "size", "source_size", "target", "epochs"]
     full = F.col("ahead") + F.col("words") <= F.col("rest")
     out = F.col("ahead") >= F.col("rest")
     sure = both.where(full | out).select(*base, F.when(full & (F.col("rest") > 0), 1).otherwise(0).alias("more"))
@@ -96,11 +96,16 @@ def mixed(docs: DataFrame, seed: int = 10) -> DataFrame:
     fits = (F.col("so_far") + F.col("size") <= F.col("rest")) | ((F.col("so_far") < F.col("rest")) & (2 * (F.col("rest") - F.col("so_far")) >= F.col("size")))
     near = border.select(*base, F.when(fits, 1).otherwise(0).alias("more"))
     times = (F.col("epochs") + F.col("more")).cast("long")
-    return sure.union(near).select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    return sure.union(near).select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), *carry)
 
 
 def mix(docs: DataFrame, seed: int = 10) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them, columns as they are. Rows are named by doc_id, which must not repeat; rows without one are left out."""
-    times = mixed(docs, seed).where("times > 0").select(F.col("doc_id").alias("__id"), "times").groupBy("__id").agg(F.max("times").alias("__times"))
-    out = docs.join(times, F.col("doc_id") == F.col("__id"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__id", "__times", "__copy")
+    """The rows of `docs` as often as the mix takes them, columns as they are.
+
+    Rows are named by a hash of doc_id, source and text, so ids may be missing or repeat; rows alike in all three are taken
+    equally often, each once more if the budget ends among them.
+    """
+    named = docs.withColumn("__row", F.xxhash64("doc_id", F.col("source").cast("string"), "text"))
+    times = mixed(named, seed, ("__row",)).where("times > 0").select(F.col("__row").alias("__id"), "times").groupBy("__id").agg(F.max("times").alias("__times"))
+    out = named.join(times, F.col("__row") == F.col("__id"))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).drop("__row", "__id", "__times", "__copy")

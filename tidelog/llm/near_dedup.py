@@ -222,9 +222,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
 def deduplicated(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of `docs` whose document stands for its group, columns as they are.
 
-    Of repeated rows of one doc_id a single one stays; a row without doc_id cannot stand for a group and goes.
+    Where ids are missing or repeated, rows are told apart by a hash of doc_id and text: of each group of linked or equal
+    texts one row stays, and every row without words does.
     """
-    kept = near_duplicates(docs, percent, size).where("kept").groupBy(F.col("doc_id").alias("__kept")).count()
-    repeated = bool(kept.where("count > 1").head(1))
-    out = docs.join(kept.select("__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").head(1):
+        kept = near_duplicates(docs, percent, size).where("kept").select(F.col("doc_id").alias("__kept"))
+        return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    kept = near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"), percent, size).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    out = named.join(kept, F.col("__row") == F.col("__kept"), "left_semi")
+    worded = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    return out.where(~worded).unionByName(out.where(worded).dropDuplicates(["__row"])).drop("__row")
