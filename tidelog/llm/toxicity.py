@@ -19,6 +19,8 @@ that are null or not 0/1 are ignored; without labels of both classes every score
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from dataclasses import dataclass
 
@@ -192,6 +194,10 @@ def _fitted(totals: dict[int, int]):
         model = fit(table["text"].combine_chunks().take(chosen), y, (scale[0] / top, max(scale[1] / top, 0.2)))
         columns = [pa.array([model.names.view(np.int64)], pa.list_(pa.int64())), pa.array([model.weights], pa.list_(pa.float64())), pa.array([model.bias], pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, ["names", "weights", "bias"])
+        del held, table, data, at
+        pa.default_memory_pool().release_unused()  # the worker lives on
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     return run
 
@@ -202,7 +208,6 @@ def held_out(doc_id: Column) -> Column:
 
 def _rate(column, model: Model, found: bool):
     data, at = T.utf8(column)
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if found else None
     scores, places = [], []
     for low, high in T.groups_of(at, SLICE):
         names, which, docs, first, last = _instances(data, at[low : high + 1])
@@ -223,11 +228,13 @@ def _rate(column, model: Model, found: bool):
         joined = -np.expm1(-np.bincount(docs, np.logaddexp(0, z) * (z >= 0), minlength=high - low))
         scores.append(np.maximum(joined, 1 / (1 + np.exp(-worst))))
         if found:
+            base = int(at[low])
+            chars = np.concatenate([[0], np.cumsum((data[base : int(at[high])] & 0xC0) != 0x80, dtype=np.int32)])
             bad = np.flatnonzero(z >= 0)
             cut = np.searchsorted(docs[bad], np.arange(high - low + 1))
             for i in range(high - low):
                 own = bad[cut[i] : cut[i + 1]]
-                places.append([{"start": int(chars[first[k]] - chars[at[low + i]]), "end": int(chars[last[k]] - chars[at[low + i]]), "score": float(1 / (1 + np.exp(-z[k])))} for k in own])
+                places.append([{"start": int(chars[first[k] - base] - chars[at[low + i] - base]), "end": int(chars[last[k] - base] - chars[at[low + i] - base]), "score": float(1 / (1 + np.exp(-z[k])))} for k in own])
     return np.concatenate(scores) if scores else np.zeros(0), places
 
 
