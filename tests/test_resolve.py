@@ -74,6 +74,20 @@ def test_changes_fill_in_ops_and_empty_values(spark):
 
 def test_flush_point(spark):
     assert [tuple(r) for r in resolve.flush_points(log_of(spark, ["+ab=cd", "+e=f", "-x", "+gh=ij"]), 6).collect()] == [(0, 3, 7)]
+    assert resolve.flush_points(log_of(spark, ["+ab=cd"]), 6).count() == 0 and resolve.flush_points(log_of(spark, []), 6).count() == 0
+
+
+@pytest.mark.parametrize(("limit", "buckets", "slices"), [(0, 1, 4), (500, 1, 4), (500, 3, 8), (1500, 2, 64), (10**6, 1, 4)])
+def test_flush_points_by_slices(spark, limit, buckets, slices):
+    log = log_of(spark, [f"+k{n % 17}={'v' * (n % 9)}" if n % 5 else f"-k{n % 17}" for n in range(300)])
+    of = {r.key: r.b for r in log.select("key", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("b")).distinct().collect()} if buckets > 1 else {}
+    want, so_far = {}, {}
+    for r in sorted(log.collect(), key=lambda r: r.seq):
+        b = of.get(r.key, 0)
+        so_far[b] = so_far.get(b, 0) + len(r.key) + (len(r.value or "") if r.op == 0 else 0)
+        if so_far[b] > limit:
+            want.setdefault(b, (r.seq, so_far[b]))
+    assert {r.bucket: (r.seq, r.bytes) for r in resolve.flush_points(log, limit, buckets, slices).collect()} == want
 
 
 def test_filter_on_key_reaches_the_scan(spark, tmp_path):

@@ -67,12 +67,22 @@ def live_bytes(log: DataFrame) -> DataFrame:
     return snapshot(log).agg(F.coalesce(F.sum(size_of(F.col("key"), F.col("value"))), F.lit(0)).cast("long").alias("bytes"))
 
 
-def flush_points(log: DataFrame, limit: int, buckets: int = 1) -> DataFrame:
+def flush_points(log: DataFrame, limit: int, buckets: int = 1, slices: int = 1 << 16) -> DataFrame:
     """(bucket, seq, bytes): in each bucket of keys, the first change after which the changes so far exceed `limit` bytes.
 
-    `buckets` splits the log by key hash, as a store with so many tails would; one bucket orders the whole log in one task.
+    `buckets` splits the log by key hash, as a store with so many tails would. Sizes only add up, so no bucket is ordered
+    whole: `slices` equal ranges of `seq`, which counts changes, are summed up (combined before the shuffle) and tell the one
+    slice of a bucket in which the limit is passed, and that alone is ordered.
     """
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int") if buckets > 1 else F.lit(0)
-    so_far = F.sum(size_of(F.col("key"), effective(F.col("value"), F.col("op")))).over(Window.partitionBy("bucket").orderBy("seq"))
-    rows = log.withColumn("bucket", bucket).select("bucket", "seq", so_far.alias("bytes")).where(F.col("bytes") > limit)
-    return rows.groupBy("bucket").agg(F.min("seq").alias("seq"), F.min_by("bytes", "seq").cast("long").alias("bytes"))
+    rows = log.select(bucket.alias("bucket"), "seq", size_of(F.col("key"), effective(F.col("value"), F.col("op"))).alias("bytes"))
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // slices))
+    rows = rows.withColumn("slice", F.floor((F.col("seq") - F.lit(low or 0)) / F.lit(width)))
+    before = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("bucket", "slice").agg(F.sum("bytes").alias("all"))  # at most buckets * slices rows
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("all").over(before), F.lit(0))).where((F.col("ahead") <= limit) & (F.col("ahead") + F.col("all") > limit))
+    passed = rows.join(sums, ["bucket", "slice"])
+    so_far = F.col("ahead") + F.sum("bytes").over(Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    passed = passed.select("bucket", "seq", so_far.alias("bytes")).where(F.col("bytes") > limit)
+    return passed.groupBy("bucket").agg(F.min("seq").alias("seq"), F.min_by("bytes", "seq").cast("long").alias("bytes"))
