@@ -50,7 +50,7 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     rows = P.digests(spark.createDataFrame(list(enumerate(known + unseen)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert rows[10].spans == "email:20:37" and rows[10].n_email == 0
     assert rows[11].spans == rows[12].spans == ""  # "the" comes before far more than cards
-    assert rows[0].spans == "email:28:43"
+    assert rows[0].spans == "email:28:43" and [rows[k].n_spans for k in (0, 10, 11)] == [1, 1, 0]
 
 
 def test_no_python_in_the_plan(spark):

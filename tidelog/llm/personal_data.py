@@ -150,9 +150,9 @@ def found_in(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of `docs`."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for every row of `docs`; n_spans counts all spans."""
     found = found_in(docs)
     count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     every = F.array_sort(F.concat("base", "added"))
-    return found.select("doc_id", *counts, F.sha2(_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), _spans(every).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), _spans(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
