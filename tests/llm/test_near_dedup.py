@@ -58,6 +58,26 @@ def test_like_all_pairs(spark, percent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, v in brute(docs, percent).items() if v[2])
 
 
+def hot(rnd):
+    """A large group of near copies, and texts that share tables with it without being linked to its least member."""
+    base = [f"word{rnd.randrange(400)}" for _ in range(150)]
+    docs = []
+    for k in range(90):
+        copy = list(base)
+        for at in rnd.sample(range(150), 2 if k < 60 else rnd.choice((3, 4, 5, 6))):
+            copy[at] = f"x{k}y{at}"
+        docs.append((k, " ".join(copy)))
+    return docs
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_blocks_of_a_hot_group(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    for docs in (hot(random.Random(block)), corpus(random.Random(2))):
+        got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(docs, 85)
+
+
 def test_members_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BROADCAST", 0)
     docs = corpus(random.Random(1))[:60]

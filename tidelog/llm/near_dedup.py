@@ -11,7 +11,9 @@ links its members to its least member (a star, found by a combined minimum, neve
 The stars are verified on whole texts and give components. A pair that shares a bucket but is still in two
 components is then compared in the residual pass: buckets are cut into blocks of BLOCK members, block pairs are
 spread over tasks, each pair is looked at in the first table it shares, and a 512-bin one-permutation sketch (5.5
-standard errors of slack) and the size bound admit it to the verification on full sets. No bucket is capped and no candidate dropped by count.
+standard errors of slack) and the size bound admit it to the verification on full sets. A bucket's largest component,
+if it is larger than a block, has blocks of its own that meet the other components' only, so a hot group of near copies
+costs in proportion to its size, not its square. No bucket is capped and no candidate dropped by count.
 
 Defined results: null or blank texts have an empty set (n_shingles 0), are linked with nothing and kept. Rows with
 the same doc_id count as one document. A null doc_id gets its text's component (null if no numbered row has that
@@ -202,9 +204,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
 
     label = members.join(found, members.cid == found.node, "left").select("cid", F.coalesce("component", "cid").alias("comp"))
     in_a = alive.select("cid", "a", F.explode("a").alias("key")).join(label, "cid")
-    mixed = in_a.groupBy("key").agg(F.count("*").alias("s"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("s > 2 and c0 <> c1").select("key", F.ceil(F.col("s") / BLOCK).cast("int").alias("blocks"))
-    open_rows = in_a.join(mixed, "key").join(texts.select("cid", "n", "sketch"), "cid").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    spread = open_rows.select("key", "cid", "comp", "n", "chunk", "sketch", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    by_comp = in_a.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    mixed = by_comp.groupBy("key").agg(F.sum("m").alias("s"), F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("s > 2 and comps > 1")
+    # a component that fills blocks of its own is only held against the rest of the bucket, never against itself
+    most = F.when(F.col("top.m") > BLOCK, F.col("top.m")).otherwise(0)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("key", F.when(most > 0, F.col("top.comp")).alias("top"), blocks(most).alias("own"), blocks(F.col("s") - most).alias("rest"))
+    open_rows = in_a.join(mixed, "key").join(texts.select("cid", "n", "sketch"), "cid").withColumn("in_top", F.coalesce(F.col("comp") == F.col("top"), F.lit(False)))
+    at = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    open_rows = open_rows.withColumn("chunk", F.when(F.col("in_top"), at(F.col("own"))).otherwise(F.col("own") + at(F.col("rest"))))
+    others = F.sequence(F.when(F.col("in_top"), F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("rest") - 1)
+    spread = open_rows.select("key", "cid", "comp", "n", "chunk", "sketch", "a", F.explode(others).alias("other"))
     spread = spread.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "cid", "comp", "n", "chunk", "sketch", "a")
     spread = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = spread.mapInArrow(_blocks(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
