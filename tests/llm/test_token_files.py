@@ -76,3 +76,13 @@ def test_frames_are_read_alone_and_checked(spark):
         out.write(bytes(data))
     with pytest.raises(ValueError, match="checksum of frame 0"):
         token_files.read_documents(folder, last.part, [0])
+
+
+def test_rows_without_an_id_are_spread_over_files(spark):
+    rows = [(None, f"text {k}") for k in range(300)] + [(5, f"other {k}") for k in range(300)] + [(9, "last")]
+    got = token_files.digests(spark.createDataFrame(rows, "doc_id long, text string"), queries.byte_bpe()).collect()
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [5] * 300 + [9]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    for doc_id in (None, 5):
+        assert len({r.file for r in got if r.doc_id == doc_id}) > 1

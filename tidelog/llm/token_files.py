@@ -15,8 +15,8 @@ encoded in its task and written under a task-unique name, then renamed, so a rep
 Encoding uses the tokenizers library. A text is cut before single spaces between non-space characters, where the
 byte-level pre-tokenizer always starts a new token, and each distinct piece is encoded once per worker.
 
-Defined results: a null or empty text is the end id alone. Rows of one doc_id lie together, ordered by text. Rows without a
-doc_id come first, with the id stored as the least 64-bit integer and given back as null. Extra columns are ignored;
+Defined results: a null or empty text is the end id alone. Rows of one doc_id follow each other, ordered by a hash of the
+text, then the text, and may go on in the next file. Rows without a doc_id come first, with the id stored as the least 64-bit integer and given back as null. Extra columns are ignored;
 an empty table gives no rows.
 """
 
@@ -296,8 +296,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
     scratch = Scratch(spark_of(docs), "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    by_id = F.col("doc_id").asc_nulls_first()
-    ordered = rows.repartitionByRange(max(12, -(-total // SHARD)), by_id).sortWithinPartitions(by_id, "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]  # many rows without a doc_id, or of one, are cut too
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange(max(12, -(-total // SHARD)), *order).sortWithinPartitions(*order, "text")
     return scratch.keep(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part long, documents long, ids long"), "files")
 
 
