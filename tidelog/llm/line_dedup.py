@@ -45,12 +45,14 @@ LONG = (EDITS + 1) * SHARE
 GRAM, BAND, TOPS = 16, 1.25, 8
 STEP, GAP = 0.001, 26  # lengths within a band by logarithm; two lines a share of 1 / SHARE apart differ by ln(1.025) / STEP, and 1 by rounding
 BUCKET, FLUSH, SLICE = 64 << 20, 1 << 20, 1 << 19  # bytes of text a bucket, entries a flush, characters a slice
-PAIRS, ROWS = 1 << 19, 1 << 12  # looked at together
+PAIRS, ROWS, VERIFIED, BYTES = 1 << 19, 1 << 12, 1 << 14, 32 << 20  # pairs and rows looked at together, with texts, and bytes of these
 BROADCAST = 1_000_000  # line names, 8 bytes each, sent to all executors at most; more are joined by a shuffle
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 _PAD = 0xFFFFFFFF
 _ONE = T.U(1)
+_HIGH = T.U(0xFFFFFFFF00000000)
+_MIXED = T.mix(np.arange(1 << 16, dtype=T.U))
 
 
 def _slices(column):
@@ -73,6 +75,14 @@ def _slices(column):
         yield np.frombuffer("\n".join(held).encode("utf-32-le"), np.uint32)
 
 
+def _mixed(points: np.ndarray) -> np.ndarray:
+    """T.mix of code points."""
+    out = _MIXED.take(points, mode="clip")
+    beyond = np.flatnonzero(points >= len(_MIXED))
+    out[beyond] = T.mix(points[beyond].astype(T.U))
+    return out
+
+
 class _Lines:
     """Lines of SHORT code points or more of one slice, with prefix sums that name any stretch of them."""
 
@@ -83,7 +93,7 @@ class _Lines:
         self.points, self.start, self.length = points, start[long], (end - start)[long]
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(points) + 1, T.U)
-            np.cumsum(T.mix(points.astype(T.U)) * T._power(_B, len(points)), out=self.sums[1:])
+            np.cumsum(_mixed(points) * T._power(_B, len(points)), out=self.sums[1:])
         self.names = self.hash(self.start, self.length) >> T.U(17) << _ONE
         self.names, one = np.unique(self.names, return_index=True)
         self.start, self.length = self.start[one], self.length[one]
@@ -148,23 +158,24 @@ def _winnowed(lines: _Lines):
     if not len(some):
         return
     start, length, names = lines.start[some], lines.length[some], lines.names[some]
-    start = start.astype(np.int32)
     own, low = _band(length), np.maximum(_band(LONG), _band(length / (1 + 1.01 / SHARE)))  # the shortest line it may be linked to
     with np.errstate(over="ignore"):
-        grams = T.mix((lines.sums[GRAM:] - lines.sums[:-GRAM]) * T._power(_INVERSE, len(lines.sums))[: len(lines.sums) - GRAM])
+        grams = (lines.sums[GRAM:] - lines.sums[:-GRAM]) * T._power(_INVERSE, len(lines.sums))[: len(lines.sums) - GRAM]
     # half a hash and the place: of all, and the least of 8 and of 16 from each on; those across lines are not used
-    least = {1: grams >> T.U(32) << T.U(32) | np.arange(len(grams), dtype=T.U)}
+    least = {1: (grams & _HIGH) | np.arange(len(grams), dtype=T.U)}
     for k in (1, 2, 4, 8):
         least[2 * k] = np.minimum(least[k][:-k], least[k][k:])
     for band in np.unique(np.concatenate([own, low])).tolist():
         here = np.flatnonzero((own == band) | (low == band))
         window = _window(band)
         of, more = (least[8], window - 8) if window <= 16 else (least[16], window - 16)
-        count = (length[here] - GRAM - window + 2).astype(np.int32)
+        count = length[here] - GRAM - window + 2
         ends = np.cumsum(count)
         heads = ends - count
-        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((start[here] - heads).astype(np.int32), count)
-        found = np.minimum(of[at], of[at + np.int32(more)])
+        at = np.arange(ends[-1]) + np.repeat(start[here] - heads, count)
+        found = of.take(at)
+        at += more
+        np.minimum(found, of.take(at), out=found)
         new = np.ones(len(found), bool)
         np.not_equal(found[1:], found[:-1], out=new[1:])
         new[heads] = True
@@ -351,13 +362,17 @@ def _may_be_near(table: pa.Table, block: np.ndarray, length: np.ndarray, counts:
     rest = np.arange(TOPS) < size[:, None]
     top[rest] = tops.flatten().to_numpy()
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    folded = counts.reshape(len(counts), -1, 4).sum(2, dtype=np.int32)  # differ by no more than the counts do
     for i, j in _pairs(block):
         most = allowed(np.minimum(length[i], length[j]))
         ok = (np.abs(length[i] - length[j]) <= most) & (~across[i] | (chunk[i] != chunk[j]))
         i, j, most = i[ok], j[ok], most[ok]
         for low in range(0, len(i), 1 << 16):
             a, b = i[low : low + (1 << 16)], j[low : low + (1 << 16)]
-            near = np.abs(counts[a] - counts[b]).sum(1) <= 2 * most[low : low + (1 << 16)]
+            edits = 2 * most[low : low + (1 << 16)]
+            near = np.flatnonzero(np.abs(folded.take(a, 0) - folded.take(b, 0)).sum(1) <= edits)
+            a, b, edits = a[near], b[near], edits[near]
+            near = np.abs(counts.take(a, 0) - counts.take(b, 0)).sum(1) <= edits
             a, b = a[near], b[near]
             both = (top[a][:, :, None] == top[b][:, None, :]).any(2) & rest[a]
             settled = both.any(1)
@@ -367,8 +382,8 @@ def _may_be_near(table: pa.Table, block: np.ndarray, length: np.ndarray, counts:
 
 
 def _blocks_of(batches, most: int):
-    """Tables (sign, lo, hi, ...) of `most` rows or more, sorted and whole by (sign, lo, hi), with a number for each block."""
-    held, size = [], 0
+    """Tables (sign, lo, hi, ...) of `most` rows or BYTES, about, sorted and whole by (sign, lo, hi), with a number for each block."""
+    held, size, weight = [], 0, 0
 
     def numbered(table):
         columns = [table.column(k).to_numpy() for k in range(3)]
@@ -382,13 +397,15 @@ def _blocks_of(batches, most: int):
             continue
         held.append(batch)
         size += batch.num_rows
-        if size >= most:
+        weight += batch.nbytes
+        if size >= most or weight >= BYTES:
             table = pa.Table.from_batches(held).combine_chunks()
             block = numbered(table)
             whole = int(np.searchsorted(block, block[-1]))
             if whole:
                 yield table.slice(0, whole), block[:whole]
             held, size = table.slice(whole).to_batches(), table.num_rows - whole
+            weight = table.slice(whole).nbytes
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, numbered(table)
@@ -419,41 +436,48 @@ def distances_within(a: list[np.ndarray], b: list[np.ndarray], most: int = EDITS
         out[some] = distances_within([a[i] for i in some], [b[i] for i in some], most)
         return out
     kind, bits = next((k, w) for k, w in ((np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if 2 * most + 1 < w)
-    columns = int(lb.max())
-    rows = np.full((n, max(int(la.max()), columns) + 2 * most + 1), _PAD, np.uint32)
-    text = np.full((n, columns), _PAD - 1, np.uint32)
-    for i in range(n):
-        rows[i, most : most + la[i]] = a[i]
-        text[i, : lb[i]] = b[i]
+    order, columns = np.argsort(-lb, kind="stable"), int(lb.max())
+    la, lb = la[order], lb[order]  # a column concerns the first pairs only, and the last of these may end
+    first, second = np.concatenate([a[i] for i in order]), np.concatenate([b[i] for i in order])
+    peak = max(int(x.max()) if len(x) else 0 for x in (first, second))
+    narrow = np.uint8 if peak < 0xFE else np.uint16 if peak < 0xFFFE else np.uint32
+    pad = np.iinfo(narrow).max
+    at = np.arange(max(int(la.max()), columns) + 2 * most + 1) - most
+    rows, text = np.full((n, len(at)), pad, narrow), np.full((n, columns), pad - 1, narrow)
+    rows[(at >= 0) & (at < la[:, None])] = first
+    text[np.arange(columns) < lb[:, None]] = second
     rows, text = np.ascontiguousarray(rows.T), np.ascontiguousarray(text.T)
     equal = np.zeros((columns, n), kind)  # bits of row j + most - d, kept at place row - 1 + most, for each column j
-    for d in range(2 * most + 1):
-        equal |= (rows[2 * most - d : 2 * most - d + columns] == text).astype(kind) << kind(bits - 1 - d)
+    for low in range(0, 2 * most + 1, 8):  # eight at a time, in bytes
+        byte = np.zeros((columns, n), np.uint8)
+        for d in range(low, min(low + 8, 2 * most + 1)):
+            byte |= (rows[2 * most - d : 2 * most - d + columns] == text).view(np.uint8) << np.uint8(7 - (d - low))
+        equal |= byte.astype(kind) << kind(bits - 8 - low)
+    del rows, text, byte
     one, top = kind(1), kind(bits - 1)
     vp = np.full(n, ((1 << bits) - 1) << (bits - 1 - most) & ((1 << bits) - 1), kind)
     vn = np.zeros(n, kind)
-    distance, result = np.minimum(most, la), np.zeros(n, np.int32)
-    result[lb == 0] = la[lb == 0]
-    ending = np.bincount(lb, minlength=columns + 1)
-    first_past = int(la.min()) - most  # columns up to it are within all strings
+    distance = np.where(lb > 0, np.minimum(most, la), la)
+    there = n - np.searchsorted(lb[::-1], np.arange(columns + 2 * most + 1))  # pairs whose second string has so many columns
     with np.errstate(over="ignore"):
         for j in range(1, columns + 1):
-            x = equal[j - 1]
-            d0 = (((x & vp) + vp) ^ vp) | x | vn
-            hp = vn | ~(d0 | vp)
-            hn = d0 & vp
-            step = 1 - (d0 >> top).astype(np.int32)
-            if j > first_past:
-                past = j + most - la  # rows by which the band has left the first string
+            k, inside = there[j], there[j + 2 * most]  # pairs that have this column, and of them those the band is still within
+            x, p, m = equal[j - 1, :k], vp[:k], vn[:k]
+            d0 = (((x & p) + p) ^ p) | x | m
+            hp = m | ~(d0 | p)
+            hn = d0 & p
+            distance[:inside] += 1 - (d0[:inside] >> top).astype(np.int32)
+            if inside < k:
+                past = j + most - la[inside:k]  # rows by which the band has left the first string
                 bit = top - np.clip(past, 0, bits - 1).astype(kind)
-                step = np.where(past <= 0, step, (hp >> bit & one).astype(np.int32) - (hn >> bit & one).astype(np.int32))
-            distance += step
-            vp = hn | ~((d0 >> one) | hp)
-            vn = (d0 >> one) & hp
-            if ending[j]:
-                done = lb == j
-                result[done] = distance[done]
-    return np.minimum(result, most + 1)
+                leaving = (hp[inside:] >> bit & one).astype(np.int32) - (hn[inside:] >> bit & one).astype(np.int32)
+                distance[inside:k] += np.where(past <= 0, 1 - (d0[inside:] >> top).astype(np.int32), leaving)
+            d0 >>= one
+            vp[:k] = hn | ~(d0 | hp)
+            vn[:k] = d0 & hp
+    out = np.empty(n, np.int32)
+    out[order] = np.minimum(distance, most + 1)
+    return out
 
 
 def distances_beyond(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
@@ -536,7 +560,7 @@ def _verify(points: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
         order = order[np.argsort(size[order], kind="stable")]
         while first < len(order):
             last = first + 1
-            while last < len(order) and (last - first) * (size[order[last]] + 8) < 1 << 19:
+            while last < len(order) and (last - first) * (size[order[last]] + 8) < 1 << 20:
                 last += min(64, len(order) - last)
             at = order[first:last]
             out[at] = distances_within([cut[k][0] for k in at.tolist()], [cut[k][1] for k in at.tolist()], band) <= np.minimum(band, most[at])
@@ -570,7 +594,7 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np
 
 def _links(batches):
     """Block pairs (sign, lo, hi, chunk, tops, signs, class, line), sorted: rows (class, links, other), `other` null in rows that count."""
-    for table, block in _blocks_of(batches, ROWS):
+    for table, block in _blocks_of(batches, VERIFIED):
         place = {c: k for k, c in enumerate(dict.fromkeys(table["class"].to_pylist()))}
         names = list(place)
         line = np.fromiter((place[c] for c in table["class"].to_pylist()), np.int64, len(block))
