@@ -45,7 +45,7 @@ LONG = (EDITS + 1) * SHARE
 GRAM, BAND, TOPS = 16, 1.25, 8
 STEP, GAP = 0.001, 26  # lengths within a band by logarithm; two lines a share of 1 / SHARE apart differ by ln(1.025) / STEP, and 1 by rounding
 BUCKET, FLUSH, SLICE = 64 << 20, 1 << 20, 1 << 19  # bytes of text a bucket, entries a flush, characters a slice
-PAIRS, ROWS, VERIFIED, BYTES = 1 << 19, 1 << 12, 1 << 14, 32 << 20  # pairs and rows looked at together, with texts, and bytes of these
+PAIRS, ROWS, BYTES = 1 << 19, 1 << 12, 16 << 20  # pairs looked at together, rows, and bytes of them
 BROADCAST = 1_000_000  # line names, 8 bytes each, sent to all executors at most; more are joined by a shuffle
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
@@ -560,7 +560,7 @@ def _verify(points: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
         order = order[np.argsort(size[order], kind="stable")]
         while first < len(order):
             last = first + 1
-            while last < len(order) and (last - first) * (size[order[last]] + 8) < 1 << 20:
+            while last < len(order) and (last - first) * (size[order[last]] + 8) < 1 << 19:
                 last += min(64, len(order) - last)
             at = order[first:last]
             out[at] = distances_within([cut[k][0] for k in at.tolist()], [cut[k][1] for k in at.tolist()], band) <= np.minimum(band, most[at])
@@ -594,7 +594,7 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np
 
 def _links(batches):
     """Block pairs (sign, lo, hi, chunk, tops, signs, class, line), sorted: rows (class, links, other), `other` null in rows that count."""
-    for table, block in _blocks_of(batches, VERIFIED):
+    for table, block in _blocks_of(batches, ROWS):
         place = {c: k for k, c in enumerate(dict.fromkeys(table["class"].to_pylist()))}
         names = list(place)
         line = np.fromiter((place[c] for c in table["class"].to_pylist()), np.int64, len(block))
