@@ -1,6 +1,7 @@
 """Edit join of lines against all pairs."""
 
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -127,3 +128,32 @@ def test_windows_of_long_lines_leave_a_shared_entry():
         if edits <= L.allowed(len(shorter)):
             kc = L.entries_of(L._Lines(points(shorter)))[0]
             assert set(ka.tolist()) & set(kc.tolist()), length
+
+
+def test_beyond_the_broadcast_texts_of_candidates_alone_are_kept_and_shuffles_go(spark, monkeypatch):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    lines = [text(rnd.randint(30, 300)) for _ in range(2000)]
+    lines += [edit(rnd, x, 1) for x in lines[:40]]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    counts, keep = {}, L.Scratch.keep
+
+    def counted(self, table, name):
+        out = keep(self, table, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(L.Scratch, "keep", counted)
+    blocks = spark._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    monkeypatch.setattr(L, "BROADCAST", 0)
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = L.near_lines(df)
+    for _ in range(100):  # they are removed in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert 80 <= counts["names"] <= counts["texts"] < len(lines) / 2
+    assert sum(r.n_links for r in rows.collect()) == 80

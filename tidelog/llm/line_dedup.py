@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import textnum as T
 from tidelog.llm.components import components
-from tidelog.llm.scratch import Scratch, spark_of
+from tidelog.llm.scratch import Scratch, freed, spark_of
 
 EDITS, SHORT, NEAR, SHARE, BLOCK, BINS = 2, 10, 24, 40, 256, 32
 LONG = (EDITS + 1) * SHARE
@@ -46,7 +46,8 @@ GRAM, BAND, TOPS = 16, 1.25, 8
 STEP, GAP = 0.001, 26  # lengths within a band by logarithm; two lines a share of 1 / SHARE apart differ by ln(1.025) / STEP, and 1 by rounding
 BUCKET, FLUSH, SLICE = 64 << 20, 1 << 20, 1 << 19  # bytes of text a bucket, entries a flush, characters a slice
 PAIRS, ROWS, BYTES = 1 << 19, 1 << 12, 16 << 20  # pairs looked at together, rows, and bytes of them
-BROADCAST = 1_000_000  # line names, 8 bytes each, sent to all executors at most; more are joined by a shuffle
+BROADCAST = 1_000_000  # line names, 8 bytes each, sent to all executors at most; more are joined by a shuffle, after
+MARKS, PLACES = 27, 3  # a Bloom filter of up to 2 ** MARKS bits, PLACES a name, has left few others
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 _PAD = 0xFFFFFFFF
@@ -304,17 +305,63 @@ def _groups(batches):
         yield out
 
 
-def _texts(wanted: np.ndarray | None):
-    """Lines (name, class, line, length, sketch) of the names `wanted` (sorted); all if None. The sketch counts characters by their low bits."""
+def _among(wanted: np.ndarray):
+    """Where names are among `wanted` (sorted)."""
+
+    def held(names):
+        spot = np.minimum(np.searchsorted(wanted, names), max(0, len(wanted) - 1))
+        return wanted[spot] == names if len(wanted) else np.zeros(len(names), bool)
+
+    return held
+
+
+def _spots(names: np.ndarray, bits: int):
+    """The PLACES bits of each name in a filter of 2 ** bits."""
+    with np.errstate(over="ignore"):
+        for k in range(PLACES):
+            yield T.mix(names + T.U(k) * T.U(_B)) >> T.U(64 - bits)
+
+
+def _marked(names: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter, as words of 64 bits, of all names."""
+
+    def run(batches):
+        words = np.zeros(1 << bits - 6, T.U)
+        for batch in batches:
+            for spot in _spots(batch.column(0).to_numpy(zero_copy_only=False).view(T.U), bits):
+                np.bitwise_or.at(words, spot >> T.U(6), _ONE << (spot & T.U(63)))
+        some = np.flatnonzero(words)
+        for low in range(0, len(some), 1 << 16):
+            at = some[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["word", "bits"])
+
+    rows = names.select("name").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << bits - 6, T.U)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(T.U)
+    return words
+
+
+def _maybe_among(words: np.ndarray):
+    """Where names may be among those of a filter."""
+    bits = 6 + (len(words) - 1).bit_length()
+
+    def held(names):
+        out = np.ones(len(names), bool)
+        for spot in _spots(names, bits):
+            out &= (words[spot >> T.U(6)] >> (spot & T.U(63)) & _ONE).astype(bool)
+        return out
+
+    return held
+
+
+def _texts(held):
+    """Lines (name, class, line, length, sketch) of the names that are `held`. The sketch counts characters by their low bits."""
 
     def run(batches):
         for batch in batches:
             for points in _slices(batch.column(0)):
                 lines = _Lines(points)
-                keep = np.arange(len(lines.names))
-                if wanted is not None and len(keep):
-                    spot = np.minimum(np.searchsorted(wanted, lines.names), max(0, len(wanted) - 1))
-                    keep = np.flatnonzero(wanted[spot] == lines.names) if len(wanted) else keep[:0]
+                keep = np.flatnonzero(held(lines.names))
                 parts = [points[s : s + n] for s, n in zip(lines.start[keep].tolist(), lines.length[keep].tolist(), strict=True)]
                 texts = [p.tobytes().decode("utf-32-le") for p in parts]
                 ids = [hashlib.md5(t.encode()).digest() for t in texts]
@@ -631,9 +678,8 @@ def classes(docs: DataFrame) -> DataFrame:
     return _lines(docs).groupBy(F.unhex(F.md5("words")).alias("class")).agg(F.count("*").alias("copies"), F.min(first).alias("first"))
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, copies, n_links, component_doc, component_line, kept) of every distinct line of `docs` (doc_id, text)."""
-    scratch = Scratch(spark_of(docs), "lines")
+def _every_and_near(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """All classes, and those with links (class, n_links, component, first), in tables of `scratch`."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, (total // BUCKET).bit_length())
@@ -643,12 +689,15 @@ def near_lines(docs: DataFrame) -> DataFrame:
     order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("size"), "sign")))  # as many as a line has entries
     names = scratch.keep(groups.groupBy("name").agg(order["sign"].alias("signs")), "names")
 
-    wanted = None
-    if names.count() <= BROADCAST:
-        wanted = np.sort(names.select("name").toArrow().column(0).to_numpy().view(T.U)) if names.head(1) else np.zeros(0, T.U)
-    found = scratch.keep(texts.mapInArrow(_texts(wanted), "name long, class binary, line string, length long, sketch binary"), "texts")
+    count = names.count()
+    exact = count <= BROADCAST
+    if exact:
+        held = _among(np.sort(names.select("name").toArrow().column(0).to_numpy().view(T.U)) if count else np.zeros(0, T.U))
+    else:
+        held = _maybe_among(_marked(names, min(MARKS, max(10, (8 * count).bit_length()))))
+    found = scratch.keep(texts.mapInArrow(_texts(held), "name long, class binary, line string, length long, sketch binary"), "texts")
     sketches = found.select("name", "class", "length", "sketch")
-    sketches = (sketches.join(names, "name", "left_semi") if wanted is None else sketches).groupBy("name", "class").agg(F.first("length").alias("length"), F.first("sketch").alias("sketch"))
+    sketches = (sketches if exact else sketches.join(names, "name", "left_semi")).groupBy("name", "class").agg(F.first("length").alias("length"), F.first("sketch").alias("sketch"))
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     tops = names.select("name", F.slice("signs", 1, TOPS).alias("tops"))
@@ -663,12 +712,20 @@ def near_lines(docs: DataFrame) -> DataFrame:
     lines = found.select("class", "line").join(few, "class", "left_semi").groupBy("class").agg(F.first("line").alias("line"))
     near = near.join(lines, "class").join(names, "name").select("sign", "lo", "hi", "chunk", "tops", "signs", "class", "line")
     linked = scratch.keep(dealt(near).mapInArrow(_links, "class binary, links long, other binary"), "links")
+    scratch.drop("groups", "names", "texts", "near", "some")
     joined = components(linked.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")), scratch, "lines")
     degree = linked.where("other is null").groupBy("class").agg(F.sum("links").alias("n_links"))
     near = degree.join(joined, F.col("class") == F.col("node"), "left").select("class", "n_links", "component")
 
     every = scratch.keep(classes(docs), "classes")
-    near = scratch.keep(near.join(every.select("class", "first"), "class"), "near-first")
+    return every, scratch.keep(near.join(every.select("class", "first"), "class"), "near-first")
+
+
+def near_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, copies, n_links, component_doc, component_line, kept) of every distinct line of `docs` (doc_id, text)."""
+    scratch = Scratch(spark_of(docs), "lines")
+    with freed(scratch.spark):
+        every, near = _every_and_near(docs, scratch)
     heads = near.groupBy("component").agg(F.min("first").alias("head"))
     near = near.join(heads, "component").select("class", "n_links", "head")
     out = every.join(near, "class", "left").withColumn("head", F.coalesce("head", "first"))
