@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -157,3 +158,47 @@ def test_beyond_the_broadcast_texts_of_candidates_alone_are_kept_and_shuffles_go
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
     assert 80 <= counts["names"] <= counts["texts"] < len(lines) / 2
     assert sum(r.n_links for r in rows.collect()) == 80
+
+
+def test_a_repeated_line_gives_its_entries_once(monkeypatch):
+    monkeypatch.setattr(L, "FLUSH", 1000)  # a flush each slice
+    monkeypatch.setattr(L, "SLICE", 400)
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    once, often = (
+        sum(len(x) for b in L._entries(6)(iter([pa.RecordBatch.from_pydict({"text": [text] * n})])) for x in b.column(1).to_pylist()) for n in (1, 50)
+    )
+    assert once == often > 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from(["ab", "abé", "abж", "ab😀"]), st.integers(0, 300), st.integers(0, 12), st.booleans())
+def test_verified_pairs_of_characters_of_any_width(seed, letters, length, edits, repeated):
+    rnd = random.Random(seed)
+    a = letters * (length // len(letters)) if repeated else "".join(rnd.choice(letters) for _ in range(length))
+    b = edit(rnd, a, edits)
+    lines = [points(x) for x in (a, b, a[::-1])]
+    left, right = np.array([0, 1, 0]), np.array([1, 2, 2])
+    texts = [a, b, a[::-1]]
+    near = [distance(texts[i], texts[j]) <= L.allowed(min(len(texts[i]), len(texts[j]))) for i, j in zip(left, right, strict=True)]
+    assert L._verify(lines, left, right).tolist() == near
+
+
+def test_what_cannot_end_in_time_is_not_followed():
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    a, b = [text(400) for _ in range(40)], [text(400) for _ in range(40)]
+    flat, at, size = L._laid([points(x) for x in a + b])
+    words, many = L._words(flat)
+    most = np.full(40, 10)
+    assert many == 8
+    looked = []
+
+    class Counted(np.ndarray):
+        def take(self, x, **more):
+            looked.append(np.size(x))
+            return np.asarray(self).take(x, **more)
+
+    got = L._distances(words.view(Counted), many, at[:40], size[:40], at[40:], size[40:], most)
+    assert (got == 11).all()
+    assert sum(looked) < 40 * 400  # words; the band of ten edits has 21 cells a column, 40 * 400 * 21 in all

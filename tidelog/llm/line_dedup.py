@@ -19,7 +19,7 @@ has an index entry and two lines.
 Keys that gather the same lines are one group. Groups are cut into blocks of BLOCK lines
 and block pairs are spread over tasks, twice: first with a sketch of each line (length and character counts), which leaves
 lines that may be near another of the block; then with the lines themselves. A pair is looked at in one group only, the
-first that both have in order of size (lists of the TOPS largest tell for most, the whole lists for the rest). It is verified by banded bit-parallel edit distance. A task gives counts and a spanning forest of its links, never a
+first that both have in order of size (lists of the TOPS largest tell for most, the whole lists for the rest). It is verified by how far the diagonals get with each edit. A task gives counts and a spanning forest of its links, never a
 list of pairs, and nothing is capped. Lines are named by 47 bits of a hash where candidates are sought, and by md5 elsewhere.
 
 Result: one row a class with its first occurrence, copies, links and the first occurrence of its component (links
@@ -29,6 +29,7 @@ doc_id come last in order; rows of one doc_id count as copies; extra columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -46,11 +47,11 @@ GRAM, BAND, TOPS = 16, 1.25, 8
 STEP, GAP = 0.001, 26  # lengths within a band by logarithm; two lines a share of 1 / SHARE apart differ by ln(1.025) / STEP, and 1 by rounding
 BUCKET, FLUSH, SLICE = 64 << 20, 1 << 20, 1 << 19  # bytes of text a bucket, entries a flush, characters a slice
 PAIRS, ROWS, BYTES = 1 << 19, 1 << 12, 16 << 20  # pairs looked at together, rows, and bytes of them
+CELLS, STRIDE = 1 << 17, 16  # diagonals of pairs that are verified together, words of each that are compared at once
 BROADCAST = 1_000_000  # line names, 8 bytes each, sent to all executors at most; more are joined by a shuffle, after
 MARKS, PLACES = 27, 3  # a Bloom filter of up to 2 ** MARKS bits, PLACES a name, has left few others
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
-_PAD = 0xFFFFFFFF
 _ONE = T.U(1)
 _HIGH = T.U(0xFFFFFFFF00000000)
 _MIXED = T.mix(np.arange(1 << 16, dtype=T.U))
@@ -93,12 +94,18 @@ class _Lines:
         long = end - start >= SHORT
         self.points, self.start, self.length = points, start[long], (end - start)[long]
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(points) + 1, T.U)
-            np.cumsum(_mixed(points) * T._power(_B, len(points)), out=self.sums[1:])
+            mixed = _mixed(points)
+            mixed *= T._power(_B, len(points))
+            self.sums = np.empty(len(points) + 1, T.U)
+            self.sums[0] = 0
+            np.cumsum(mixed, out=self.sums[1:])
         self.names = self.hash(self.start, self.length) >> T.U(17) << _ONE
         self.names, one = np.unique(self.names, return_index=True)
         self.start, self.length = self.start[one], self.length[one]
 
+    def only(self, some: np.ndarray) -> None:
+        self.names, self.start, self.length = self.names[some], self.start[some], self.length[some]
+
     def hash(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return T.mix((self.sums[start + length] - self.sums[start]) * T._power(_INVERSE, len(self.points) + 1)[start] + length.astype(T.U))
@@ -146,6 +153,7 @@ def _band(length) -> np.ndarray:
     return np.floor(np.log(length) / np.log(BAND) + 1e-9).astype(np.int64)
 
 
+@functools.cache
 def _window(band: int) -> int:
     """How many GRAMs there are in the stretch that lines of a band share: between e edits on L characters one is (L - e) / (e + 1) long."""
     length = np.arange(max(LONG, int(BAND**band) - 1), int(BAND ** (band + 1)) + 2)
@@ -160,32 +168,40 @@ def _winnowed(lines: _Lines):
         return
     start, length, names = lines.start[some], lines.length[some], lines.names[some]
     own, low = _band(length), np.maximum(_band(LONG), _band(length / (1 + 1.01 / SHARE)))  # the shortest line it may be linked to
-    with np.errstate(over="ignore"):
-        grams = (lines.sums[GRAM:] - lines.sums[:-GRAM]) * T._power(_INVERSE, len(lines.sums))[: len(lines.sums) - GRAM]
+    n = len(lines.sums) - GRAM
+    grams = lines.sums[GRAM:] - lines.sums[:-GRAM]
+    grams *= T._power(_INVERSE, len(lines.sums))[:n]
     # half a hash and the place: of all, and the least of 8 and of 16 from each on; those across lines are not used
-    least = {1: (grams & _HIGH) | np.arange(len(grams), dtype=T.U)}
-    for k in (1, 2, 4, 8):
-        least[2 * k] = np.minimum(least[k][:-k], least[k][k:])
-    for band in np.unique(np.concatenate([own, low])).tolist():
-        here = np.flatnonzero((own == band) | (low == band))
-        window = _window(band)
-        of, more = (least[8], window - 8) if window <= 16 else (least[16], window - 16)
-        count = length[here] - GRAM - window + 2
-        ends = np.cumsum(count)
-        heads = ends - count
-        at = np.arange(ends[-1]) + np.repeat(start[here] - heads, count)
-        found = of.take(at)
-        at += more
-        np.minimum(found, of.take(at), out=found)
-        new = np.ones(len(found), bool)
-        np.not_equal(found[1:], found[:-1], out=new[1:])
-        new[heads] = True
-        new = np.flatnonzero(new)
-        line = here[np.searchsorted(ends, new, "right")]
-        gram = (found[new] & T.U(0xFFFFFFFF)).astype(np.int64)
-        code = np.clip(np.floor((np.log(length) - np.log(BAND) * band) / STEP), 0, 255).astype(np.uint8)
-        place = ((gram - start[line]) // int(allowed(int(BAND ** (band + 1)) + 1))).astype(np.uint8)  # 42 at most
-        yield T.mix(grams[gram] ^ T.mix(T.U(band * 8 + 7))), names[line] | _ONE, code[line], place
+    of16, of8 = grams & _HIGH, np.empty(n, T.U)
+    of16 |= np.arange(n, dtype=T.U)
+    for k, of, out in ((1, of16, of8), (2, of8, of16), (4, of16, of8), (8, of8, of16)):
+        n -= k
+        np.minimum(of[:n], of[k : n + k], out=out[:n])
+    lower = np.flatnonzero(low < own)  # these enter the band below as well
+    here, band = np.concatenate([np.arange(len(some)), lower]), np.concatenate([own, low[lower]])
+    bands, band = np.unique(band, return_inverse=True)
+    window = np.array([_window(b) for b in bands.tolist()])[band]
+    count = length[here] - GRAM - window + 2
+    ends = np.cumsum(count)
+    heads = ends - count
+    found = np.empty(ends[-1], T.U)
+    for at, n, w, head in zip(start[here].tolist(), count.tolist(), window.tolist(), heads.tolist(), strict=True):
+        of, more = (of8, w - 8) if w <= 16 else (of16, w - 16)
+        np.minimum(of[at : at + n], of[at + more : at + more + n], out=found[head : head + n])
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    new[heads] = True
+    new = np.flatnonzero(new)
+    of = np.searchsorted(ends, new, "right")
+    gram = (found[new] & T.U(0xFFFFFFFF)).astype(np.int64)
+    steps = allowed((BAND ** (bands + 1)).astype(np.int64) + 1)[band]
+    place = ((gram - start[here][of]) // steps[of]).astype(np.uint8)  # 42 at most
+    grams = grams[gram]
+    new = _new(of, grams, place)  # what repeats goes once
+    of, place = of[new], place[new]
+    code = np.clip(np.floor((np.log(length[here]) - np.log(BAND) * bands[band]) / STEP), 0, 255).astype(np.uint8)
+    tag = T.mix((bands * 8 + 7).astype(T.U))[band]
+    yield T.mix(grams[new] ^ tag[of]), (names[here] | _ONE)[of], code[of], place
 
 
 def _entries(bits: int):
@@ -193,15 +209,15 @@ def _entries(bits: int):
 
     def run(batches):
         keys, held = [], 0
+        seen = np.zeros(0, T.U)  # names whose entries are given already
 
         def flush():
             k, o, c, p = (np.concatenate(x) for x in zip(*keys, strict=True))
-            order = np.argsort(k)
+            order = np.argsort((k >> T.U(48)).astype(np.uint16) if bits <= 16 else k, kind="stable")  # 16 bits are sorted by radix
             k, o, c, p = k[order], o[order], c[order], p[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1])
-            k, o, c, p = k[new], o[new], c[new], p[new]
-            there, first = np.unique((k >> T.U(64 - bits)).astype(np.int64), return_index=True)
+            there = (k >> T.U(64 - bits)).astype(np.int64)
+            first = np.flatnonzero(_new(there))
+            there = there[first]
             k = k >> T.U(24 - bits)
             parts = (k.astype(np.uint32), o.astype(np.uint32), (o >> T.U(32)).astype(np.uint16), (k >> T.U(32)).astype(np.uint8), c, p)
             blobs = [b"".join(x[a:b].tobytes() for x in parts) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=True)]
@@ -210,8 +226,10 @@ def _entries(bits: int):
         for batch in batches:
             for points in _slices(batch.column(0)):
                 lines = _Lines(points)
+                lines.only(~_among(seen)(lines.names))
                 if not len(lines.names):
                     continue
+                seen = np.sort(np.concatenate([seen if len(seen) < FLUSH else seen[:0], lines.names]))
                 keys.append(entries_of(lines))
                 held += len(keys[-1][0])
                 if held >= FLUSH:
@@ -253,10 +271,13 @@ def _shared(keys: np.ndarray, owners: np.ndarray, codes: np.ndarray, places: np.
         return None
     order = order[twice]
     keys, owners, codes, places = sorted_keys[twice], owners[order], codes[order].astype(np.int16), places[order].astype(np.int16)
-    order = np.lexsort((places, keys))  # first the lines of a key are divided by place, then each part by length
+    order = np.argsort(keys << T.U(8) | places.astype(T.U))  # first the lines of a key are divided by place, then each part by length
     keys, owners, codes, places = keys[order], owners[order], codes[order], places[order]
     part = np.cumsum(_new(keys) | np.concatenate([[True], places[1:] > places[:-1] + 1]))
-    order = np.lexsort((owners, codes, part))
+    if len(part) < 1 << 24:  # 32 bits of a name do to bring the entries of a line together, as its code is one
+        order = np.argsort(part.astype(T.U) << T.U(40) | codes.astype(T.U) << T.U(32) | owners & T.U(0xFFFFFFFF))
+    else:
+        order = np.lexsort((owners, codes, part))
     owners, codes, part = owners[order], codes[order], part[order]
     part = np.cumsum(_new(part) | np.concatenate([[True], codes[1:] > codes[:-1] + GAP]))
     names = owners & ~_ONE
@@ -410,6 +431,7 @@ def _may_be_near(table: pa.Table, block: np.ndarray, length: np.ndarray, counts:
     top[rest] = tops.flatten().to_numpy()
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     folded = counts.reshape(len(counts), -1, 4).sum(2, dtype=np.int32)  # differ by no more than the counts do
+    apart = lambda counts, a, b: np.einsum("ij->i", np.abs(counts.take(a, 0) - counts.take(b, 0)))
     for i, j in _pairs(block):
         most = allowed(np.minimum(length[i], length[j]))
         ok = (np.abs(length[i] - length[j]) <= most) & (~across[i] | (chunk[i] != chunk[j]))
@@ -417,11 +439,12 @@ def _may_be_near(table: pa.Table, block: np.ndarray, length: np.ndarray, counts:
         for low in range(0, len(i), 1 << 16):
             a, b = i[low : low + (1 << 16)], j[low : low + (1 << 16)]
             edits = 2 * most[low : low + (1 << 16)]
-            near = np.flatnonzero(np.abs(folded.take(a, 0) - folded.take(b, 0)).sum(1) <= edits)
+            near = np.flatnonzero(apart(folded, a, b) <= edits)
             a, b, edits = a[near], b[near], edits[near]
-            near = np.abs(counts.take(a, 0) - counts.take(b, 0)).sum(1) <= edits
+            near = apart(counts, a, b) <= edits
             a, b = a[near], b[near]
-            both = (top[a][:, :, None] == top[b][:, None, :]).any(2) & rest[a]
+            both = (top[a][:, :, None] == top[b][:, None, :]).view(T.U)[:, :, 0] != 0  # any of TOPS bytes
+            both &= rest[a]
             settled = both.any(1)
             keep = ~settled | (top[a, both.argmax(1)] == sign[a])
             out.append((a[keep], b[keep], settled[keep]))
@@ -467,117 +490,83 @@ def _sketched(batches):
         yield from table.take(pa.array(some)).select(["sign", "lo", "hi", "chunk", "tops", "name", "class"]).to_batches()
 
 
-def distances_within(a: list[np.ndarray], b: list[np.ndarray], most: int = EDITS) -> np.ndarray:
-    """Edit distance of each pair of code point arrays, or `most` + 1 beyond that; bit-parallel along a band of 2 * most + 1 diagonals.
+def _words(points: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of each place the eight bytes of characters from it on, and how many characters these are; the end is padded."""
+    peak = int(points.max()) if len(points) else 0
+    kind = np.dtype(np.uint8 if peak <= 0xFF else np.uint16 if peak <= 0xFFFF else np.uint32)
+    padded = np.zeros(len(points) + 8, kind)
+    padded[: len(points)] = points
+    return np.ndarray((len(points) + 1,), T.U, padded, strides=(kind.itemsize,)).copy(), 8 // kind.itemsize
 
-    The top bit is the band's lowest row; the band goes down a row with each column, so vectors are kept shifted by one.
-    """
-    n = len(a)
-    la, lb = np.array([len(x) for x in a], np.int32), np.array([len(x) for x in b], np.int32)
-    close = np.abs(la - lb) <= most
-    if not n or not close.any():
-        return np.full(n, most + 1, np.int32)
-    if not close.all():
-        out = np.full(n, most + 1, np.int32)
-        some = np.flatnonzero(close)
-        out[some] = distances_within([a[i] for i in some], [b[i] for i in some], most)
-        return out
-    kind, bits = next((k, w) for k, w in ((np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if 2 * most + 1 < w)
-    order, columns = np.argsort(-lb, kind="stable"), int(lb.max())
-    la, lb = la[order], lb[order]  # a column concerns the first pairs only, and the last of these may end
-    first, second = np.concatenate([a[i] for i in order]), np.concatenate([b[i] for i in order])
-    peak = max(int(x.max()) if len(x) else 0 for x in (first, second))
-    narrow = np.uint8 if peak < 0xFE else np.uint16 if peak < 0xFFFE else np.uint32
-    pad = np.iinfo(narrow).max
-    at = np.arange(max(int(la.max()), columns) + 2 * most + 1) - most
-    rows, text = np.full((n, len(at)), pad, narrow), np.full((n, columns), pad - 1, narrow)
-    rows[(at >= 0) & (at < la[:, None])] = first
-    text[np.arange(columns) < lb[:, None]] = second
-    rows, text = np.ascontiguousarray(rows.T), np.ascontiguousarray(text.T)
-    equal = np.zeros((columns, n), kind)  # bits of row j + most - d, kept at place row - 1 + most, for each column j
-    for low in range(0, 2 * most + 1, 8):  # eight at a time, in bytes
-        byte = np.zeros((columns, n), np.uint8)
-        for d in range(low, min(low + 8, 2 * most + 1)):
-            byte |= (rows[2 * most - d : 2 * most - d + columns] == text).view(np.uint8) << np.uint8(7 - (d - low))
-        equal |= byte.astype(kind) << kind(bits - 8 - low)
-    del rows, text, byte
-    one, top = kind(1), kind(bits - 1)
-    vp = np.full(n, ((1 << bits) - 1) << (bits - 1 - most) & ((1 << bits) - 1), kind)
-    vn = np.zeros(n, kind)
-    distance = np.where(lb > 0, np.minimum(most, la), la)
-    there = n - np.searchsorted(lb[::-1], np.arange(columns + 2 * most + 1))  # pairs whose second string has so many columns
-    with np.errstate(over="ignore"):
-        for j in range(1, columns + 1):
-            k, inside = there[j], there[j + 2 * most]  # pairs that have this column, and of them those the band is still within
-            x, p, m = equal[j - 1, :k], vp[:k], vn[:k]
-            d0 = (((x & p) + p) ^ p) | x | m
-            hp = m | ~(d0 | p)
-            hn = d0 & p
-            distance[:inside] += 1 - (d0[:inside] >> top).astype(np.int32)
-            if inside < k:
-                past = j + most - la[inside:k]  # rows by which the band has left the first string
-                bit = top - np.clip(past, 0, bits - 1).astype(kind)
-                leaving = (hp[inside:] >> bit & one).astype(np.int32) - (hn[inside:] >> bit & one).astype(np.int32)
-                distance[inside:k] += np.where(past <= 0, 1 - (d0[inside:] >> top).astype(np.int32), leaving)
-            d0 >>= one
-            vp[:k] = hn | ~(d0 | hp)
-            vn[:k] = d0 & hp
-    out = np.empty(n, np.int32)
-    out[order] = np.minimum(distance, most + 1)
-    return out
 
+def _distances(words: np.ndarray, many: int, at_a: np.ndarray, la: np.ndarray, at_b: np.ndarray, lb: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Edit distance of each pair of stretches of the characters of `words`, or `most` + 1 beyond that.
 
-def distances_beyond(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
-    """Whether each pair is within its own `most`, of any size: how far each diagonal gets with 0, 1, 2... edits, for all pairs at once."""
-    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    out = np.zeros(len(a), bool)
+    How far each diagonal gets with 0, 1, 2... edits, for all pairs at once; a diagonal that is further from the last one
+    than edits are left is not followed. Equal characters are passed a word of `many` at a time.
+    """
+    out = most + 1
     live = np.flatnonzero(np.abs(la - lb) <= most)
     if not len(live):
         return out
-    pad = [np.array([_PAD], np.uint32), np.array([_PAD - 1], np.uint32)]  # a string's end equals nothing
-    first = np.concatenate([y for x in a for y in (x, pad[0])] + [np.full(32, _PAD, np.uint32)])
-    second = np.concatenate([y for x in b for y in (x, pad[1])] + [np.full(32, _PAD - 1, np.uint32)])
-    at_a, at_b = np.cumsum(la + 1) - la - 1, np.cumsum(lb + 1) - lb - 1
-    widest, step = int(most.max()), np.arange(16)
-    diagonal = np.arange(-widest, widest + 1)
-    reach = np.full((len(live), 2 * widest + 3), -(1 << 40))  # one more at either side
+    at_a, la, at_b, lb, most = at_a[live], la[live], at_b[live], lb[live], most[live]
+    widest, bits = int(most.max()), 64 // many
+    width = 2 * widest + 3  # one more at either side
+    reach = np.full((len(live), width), -(1 << 40))
     reach[:, widest + 1] = 0
     for edits in range(widest + 1):
-        low, high = widest - edits, widest + edits + 1
-        now = reach[:, low + 1 : high + 1]
+        diagonal = np.arange(-edits, edits + 1)
+        low, high = widest + 1 - edits, widest + 2 + edits
+        now, shift = reach[:, low:high], (lb - la)[:, None]
         if edits:
-            further = np.maximum(np.maximum(now, reach[:, low + 2 : high + 2]) + 1, reach[:, low:high])
-            now[:] = np.minimum(further, np.minimum(la[live, None], lb[live, None] - diagonal[low:high]))
-        row, col = np.nonzero(now >= np.maximum(0, -diagonal[low:high]))
-        i = now[row, col]
-        x, y = at_a[live][row] + i, at_b[live][row] + i + diagonal[low:high][col]
-        same = np.flatnonzero(first[x] == second[y])
-        row, col, x, y = row[same], col[same], x[same], y[same]
-        while len(row):
-            equal = first[x[:, None] + step] == second[y[:, None] + step]
-            run = np.where(equal.all(1), len(step), equal.argmin(1))
-            now[row, col] += run
-            more = run == len(step)
-            row, col, x, y = row[more], col[more], x[more] + len(step), y[more] + len(step)
-        shift = np.clip(lb[live] - la[live], -edits, edits)
-        ended = (shift == lb[live] - la[live]) & (reach[np.arange(len(live)), widest + 1 + shift] == la[live])
-        out[live[ended]] = True
-        stay = ~ended & (most[live] > edits)
-        if not stay.any():
+            further = np.maximum(np.maximum(now, reach[:, low + 1 : high + 1]) + 1, reach[:, low - 1 : high - 1])
+            now[:] = np.minimum(further, np.minimum(la[:, None], lb[:, None] - diagonal))
+        row, column = np.nonzero((now >= np.maximum(0, -diagonal)) & (np.abs(diagonal - shift) <= (most - edits)[:, None]))
+        at = row * width + (column + low)
+        flat, aside = reach.reshape(-1), diagonal[column]
+        i = flat[at]
+        x, y = at_a[row] + i, at_b[row] + i + aside
+        room = np.minimum(la[row] - i, lb[row] - i - aside)
+        step = np.zeros(1, np.int64)  # a word where most end, then STRIDE at once
+        while len(at):
+            other = words.take(x[:, None] + step, mode="clip") ^ words.take(y[:, None] + step, mode="clip")
+            word = (other != 0).argmax(1)
+            other = other[np.arange(len(at)), word]  # the first that differs; its equal characters are zeros below the lowest one
+            run = word * many + np.bitwise_count((other & (~other + _ONE)) - _ONE).astype(np.int64) // bits
+            run[other == 0] = len(step) * many
+            flat[at] += np.minimum(run, room)
+            more = np.flatnonzero((other == 0) & (room > run))
+            at, x, y, room, step = at[more], x[more] + run[more], y[more] + run[more], room[more] - run[more], np.arange(STRIDE) * many
+        shift = shift[:, 0]
+        ended = (np.abs(shift) <= edits) & (reach[np.arange(len(live)), widest + 1 + np.clip(shift, -edits, edits)] == la)
+        out[live[ended]] = edits
+        stay = np.flatnonzero(~ended & (most > edits))
+        if not len(stay):
             break
-        if not stay.all():
+        if len(stay) < len(live):
             live, reach = live[stay], reach[stay]
+            at_a, la, at_b, lb, most = at_a[stay], la[stay], at_b[stay], lb[stay], most[stay]
     return out
 
 
-def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two strings without the beginning and the end that they share, which leaves their distance as it is."""
-    n = min(len(a), len(b))
-    other = a[:n] != b[:n]
-    head = int(other.argmax()) if other.any() else n
-    other = a[len(a) - n + head :][::-1] != b[len(b) - n + head :][::-1]
-    tail = int(other.argmax()) if other.any() else n - head
-    return a[head : len(a) - tail], b[head : len(b) - tail]
+def _laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings one after the other, where each begins and its length."""
+    size = np.array([len(x) for x in texts], np.int64)
+    return np.concatenate(texts) if texts else np.zeros(0, np.uint32), np.cumsum(size) - size, size
+
+
+def distances_within(a: list[np.ndarray], b: list[np.ndarray], most: int = EDITS) -> np.ndarray:
+    """Edit distance of each pair of code point arrays, or `most` + 1 beyond that."""
+    points, at, size = _laid(a + b)
+    n = len(a)
+    return _distances(*_words(points), at[:n], size[:n], at[n:], size[n:], np.full(n, most, np.int64))
+
+
+def distances_beyond(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether each pair is within its own `most`, of any size."""
+    points, at, size = _laid(a + b)
+    n = len(a)
+    return _distances(*_words(points), at[:n], size[:n], at[n:], size[n:], most.astype(np.int64)) <= most
 
 
 def _bigrams(points: list[np.ndarray]) -> np.ndarray:
@@ -591,35 +580,23 @@ def _bigrams(points: list[np.ndarray]) -> np.ndarray:
 
 def _verify(points: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Whether pairs are as near as the shorter one's length allows. An edit takes and gives two pairs of neighbours at most, so
-    their counts rule most of the others out; then the narrowest band that does, or two, in chunks of like length."""
-    size = np.array([len(p) for p in points])
+    their counts rule most of the others out; then by the edit distance, in chunks that allow about as many edits."""
+    flat, at, size = _laid(points)
     most = allowed(np.minimum(size[left], size[right]))
-    counts, may = _bigrams(points), np.zeros(len(left), bool)
+    counts, out = _bigrams(points), np.zeros(len(left), bool)
     for low in range(0, len(left), 1 << 13):
         high = low + (1 << 13)
-        may[low:high] = np.abs(counts[left[low:high]] - counts[right[low:high]]).sum(1) <= 4 * most[low:high]
-    cut = {k: _trimmed(points[left[k]], points[right[k]]) for k in np.flatnonzero(may).tolist()}
-    size = np.zeros(len(left), np.int64)
-    size[list(cut)] = [max(len(a), len(b)) for a, b in cut.values()]
-    out = may & (size <= most)  # all that is left may be replaced
-    for band, low, high in ((7, 0, 7), (15, 7, 1 << 62), (31, 15, 1 << 62)):
-        order, first = np.flatnonzero(may & ~out & (most > low) & (most <= high)), 0
-        order = order[np.argsort(size[order], kind="stable")]
-        while first < len(order):
-            last = first + 1
-            while last < len(order) and (last - first) * (size[order[last]] + 8) < 1 << 19:
-                last += min(64, len(order) - last)
-            at = order[first:last]
-            out[at] = distances_within([cut[k][0] for k in at.tolist()], [cut[k][1] for k in at.tolist()], band) <= np.minimum(band, most[at])
-            first = last
-    order, first = np.flatnonzero(may & ~out & (most > 31)), 0
+        out[low:high] = np.abs(counts[left[low:high]] - counts[right[low:high]]).sum(1) <= 4 * most[low:high]
+    order, first = np.flatnonzero(out), 0
     order = order[np.argsort(most[order], kind="stable")]
+    words, many = _words(flat)
     while first < len(order):
         last = first + 1
-        while last < len(order) and (last - first) * int(most[order[last]]) < 1 << 17:
-            last += 1
-        at = order[first:last]
-        out[at] = distances_beyond([cut[k][0] for k in at.tolist()], [cut[k][1] for k in at.tolist()], most[at])
+        while last < len(order) and (last - first) * (2 * int(most[order[last]]) + 3) < CELLS:
+            last += min(64, len(order) - last)
+        here = order[first:last]
+        a, b = left[here], right[here]
+        out[here] = _distances(words, many, at[a], size[a], at[b], size[b], most[here]) <= most[here]
         first = last
     return out
 
@@ -642,12 +619,9 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np
 def _links(batches):
     """Block pairs (sign, lo, hi, chunk, tops, signs, class, line), sorted: rows (class, links, other), `other` null in rows that count."""
     for table, block in _blocks_of(batches, ROWS):
-        place = {c: k for k, c in enumerate(dict.fromkeys(table["class"].to_pylist()))}
-        names = list(place)
-        line = np.fromiter((place[c] for c in table["class"].to_pylist()), np.int64, len(block))
-        texts: list = [None] * len(names)
-        for k, t in zip(line.tolist(), table["line"].to_pylist(), strict=True):
-            texts[k] = t
+        ids = table["class"].combine_chunks().dictionary_encode()
+        names, line = ids.dictionary.to_pylist(), ids.indices.to_numpy().astype(np.int64)
+        texts = table["line"].take(pa.array(np.unique(line, return_index=True)[1])).to_pylist()
         points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
         size = np.array([len(p) for p in points])
         left, right, settled = _may_be_near(table, block, size[line], _counts(points)[line])
