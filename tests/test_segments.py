@@ -54,6 +54,26 @@ def test_greedy_split_counts_anew(spark):
     assert ranged.count() == 50 and ranged.select("range").distinct().count() == 3
 
 
+@pytest.mark.parametrize(("limit", "kind"), [(0, "string"), (100, "binary"), (700, "string"), (1500, "string"), (10**6, "string")])
+def test_greedy_split_over_ranges_is_that_of_one_stream(spark, monkeypatch, limit, kind):
+    monkeypatch.setattr(segments, "RANGE_RECORDS", 60, raising=False)  # ten ranges, longer and shorter than a part
+    monkeypatch.setattr(segments, "RANGE_LIMITS", 0, raising=False)
+    rows = [(None if k % 50 == 7 else f"{k * 7919 % 1000:03d}", None if k % 11 == 0 else "x" * (k * k % 61), int(k % 5 == 0)) for k in range(600)]
+    expected, part, used = {}, 0, 0
+    for key, value, op in sorted(rows, key=lambda row: (row[0] is None, row[0])):
+        if used > limit:
+            part, used = part + 1, 0
+        used += 0 if key is None else 13 + len(key) if op else 17 + len(key) + len(value or "")
+        expected.setdefault(key, []).append(part)
+    run = spark.createDataFrame(rows, "key string, value string, op int").withColumn("key", F.col("key").cast(kind))
+    got = segments.split_greedily(run, limit=limit)
+    assert max(got.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 300  # no task has the run
+    found = {}
+    for row in got.orderBy("part").collect():
+        found.setdefault(row.key if row.key is None else bytes(row.key).decode() if kind == "binary" else row.key, []).append(row.part)
+    assert found == expected
+
+
 ENTRY = "ordinal long, level int, filename string, start_key string, end_key string, bytes long, deleted boolean"
 
 
