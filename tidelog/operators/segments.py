@@ -151,7 +151,8 @@ def split_greedily(run: DataFrame, limit: int = SPLIT_BYTES, ranges: int = 1) ->
     range the parts are those of one stream, though no task has it whole: the keys are dealt into ranges of bounded size,
     one pass tells what each does to any count it may be entered with, which one small task follows from range to range,
     and the next numbers the rows. So the run is read four times (its size, Spark's bounds, the two passes) and must be
-    the same each time. Null keys come last, without bytes. More ranges split the key space first and each inside.
+    the same each time. Null keys come last, without bytes. Rows of one key, which a run has once, stay in one range. More
+    ranges split the key space first and each inside.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
